@@ -90,7 +90,7 @@ def look_alikes(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     f = forms(rows, id_col, text_col)
     varied = f.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo != hi").select("form")
-    f = f.join(varied, "form", "left_semi")
+    f = f.join(varied, "form", "left_semi").select("id", "form", "raw")
     a, b = f.toDF("id_a", "form", "raw_a"), f.toDF("id_b", "form", "raw_b")
     return a.join(b, "form").where("id_a < id_b and raw_a != raw_b").select("id_a", "id_b").distinct()
 
