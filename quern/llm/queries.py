@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import dialogues, language, mixing, near_duplicates, packing, shared_spans, site_lines, skeleton
+from quern.llm import dialogues, language, mixing, near_duplicates, packing, page_body, shared_spans, site_lines, skeleton
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_repeated_lines(_table(spark, d, "documents"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_body.page_bodies(_table(spark, d, "web_pages"))
+
+
+def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return page_body.clean_pages(_table(spark, d, "web_pages"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     names = skeleton.look_alikes(_table(spark, d, "saints_ar_generated"), "id", "name_ar").select(F.lit("saints_ar_generated").alias("tbl"), "id_a", "id_b")
     texts = skeleton.look_alikes(_table(spark, d, "chunks"), "id", "text").select(F.lit("chunks").alias("tbl"), "id_a", "id_b")

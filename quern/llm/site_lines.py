@@ -23,9 +23,9 @@ from quern.llm.scratch import materialize
 #: A line must be in this many documents of the site, and this share of them.
 MIN_DOCS = 5
 MIN_SHARE = 0.04
-#: Error a summary may have, as a share of the site's documents: half the
-#: threshold, so no line that reaches it can be lost and at most
-#: 2 / MIN_SHARE lines per average document line survive the merge.
+#: Error a summary may have, as a share of the site's documents; at half a
+#: threshold or less no line that reaches the threshold can be lost, and a site
+#: keeps at most 1 / SUMMARY_ERROR lines per average document line.
 SUMMARY_ERROR = MIN_SHARE / 2
 #: Counters a partition holds before it prunes within the same error.
 MAX_COUNTERS = 200_000
@@ -100,8 +100,10 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def candidates(hashes: DataFrame) -> DataFrame:
+def candidates(hashes: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(site, key, docs): lines that can reach the threshold, none that reaches it missing."""
+    if min_share < 2 * SUMMARY_ERROR:
+        raise ValueError(f"min_share must be {2 * SUMMARY_ERROR} or more")
     distinct = hashes.select("site", F.array_except(F.array_distinct("keys"), F.array(F.lit(None).cast("bigint"))).alias("keys"))
     merged = (
         distinct.mapInArrow(_summarise, "site string, key long, count long, docs long")
@@ -113,7 +115,7 @@ def candidates(hashes: DataFrame) -> DataFrame:
         merged.where("key is not null")
         .select("site", "key", "count")
         .join(sites, "site")
-        .where(F.col("count") + F.col("error") >= F.greatest(F.lit(MIN_DOCS), F.col("docs") * MIN_SHARE))
+        .where(F.col("count") + F.col("error") >= F.greatest(F.lit(min_docs), F.col("docs") * min_share))
         .select("site", "key", "docs")
     )
 
@@ -122,15 +124,15 @@ def _sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= limit else small
 
 
-def repeated(hashes: DataFrame) -> DataFrame:
+def repeated(hashes: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(site, key, n_docs, site_docs) of the confirmed lines, counted exactly."""
-    wanted = materialize(candidates(hashes), "line-candidates")
+    wanted = materialize(candidates(hashes, min_docs, min_share), "line-candidates")
     seen = hashes.select("site", F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
     return (
         seen.join(_sized(wanted), ["site", "key"])
         .groupBy("site", "key")
         .agg(F.count("*").alias("n_docs"), F.first("docs").alias("site_docs"))
-        .where((F.col("n_docs") >= MIN_DOCS) & (F.col("n_docs") >= F.col("site_docs") * MIN_SHARE))
+        .where((F.col("n_docs") >= min_docs) & (F.col("n_docs") >= F.col("site_docs") * min_share))
     )
 
 
