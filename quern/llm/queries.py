@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import dialogues, language, mixing, near_duplicates, packing, page_body, shared_spans, site_lines, skeleton
+from quern.llm import dialogues, language, mixing, near_duplicates, packing, page_body, scans, shared_spans, site_lines, skeleton
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,14 @@ def p6_links(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("conversation_id", "turn_no", "parent_no", "score", "speaker", F.col("id").alias("message_id"), "content")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(_table(spark, d, "pdf_pages"))
+
+
+def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(_table(spark, d, "pdf_pages"))
+
+
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(_table(spark, d, "documents"), _table(spark, d, "bin_sizes"))
 
