@@ -58,16 +58,16 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
     return entities.sections(_pages(spark, d), ["pdf", "page"], excluded=RULES.excluded_terms)
 
 
-_RENAMES = [("FRANCE", "GAUL"), ("GERMANY", ""), ("JAPAN", "NIPPON"), ("CHINA", "CATHAY")]
+_RENAMES = [("NATION_3", "GAUL"), ("NATION_5", ""), ("NATION_7", "NIPPON"), ("NATION_11", "CATHAY")]
 
 
 @query("""
-  WITH r(name, replacement) AS (VALUES ('FRANCE', 'GAUL'), ('GERMANY', ''), ('JAPAN', 'NIPPON'), ('CHINA', 'CATHAY')),
+  WITH r(name, replacement) AS (VALUES ('NATION_3', 'GAUL'), ('NATION_5', ''), ('NATION_7', 'NIPPON'), ('NATION_11', 'CATHAY')),
   x AS (SELECT n_nationkey, n_name, r.replacement FROM nation LEFT JOIN r ON n_name = r.name)
-  SELECT n_nationkey, coalesce(replacement, n_name) AS n_name FROM x WHERE (replacement IS NULL OR replacement <> '') AND coalesce(replacement, n_name) NOT IN ('NIPPON', 'FRANCE', 'PERU')""")
+  SELECT n_nationkey, coalesce(replacement, n_name) AS n_name FROM x WHERE (replacement IS NULL OR replacement <> '') AND coalesce(replacement, n_name) NOT IN ('NIPPON', 'NATION_3', 'NATION_20')""")
 def rename_exclude(spark: SparkSession, d: str) -> DataFrame:
     renames = spark.createDataFrame(_RENAMES, "name string, replacement string")
-    excluded = spark.createDataFrame([("NIPPON",), ("FRANCE",), ("PERU",)], "name string")
+    excluded = spark.createDataFrame([("NIPPON",), ("NATION_3",), ("NATION_20",)], "name string")
     return entities.rename_and_exclude(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_name", renames, excluded)
 
 
@@ -259,9 +259,9 @@ def paged_list(spark: SparkSession, d: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(total))
 
 
-@query("SELECT option FROM (VALUES ('france'), ('Nowhere'), ('CHINA')) t(option) WHERE lower(option) IN (SELECT lower(n_name) FROM nation)")
+@query("SELECT option FROM (VALUES ('nation_3'), ('Nowhere'), ('NATION_11')) t(option) WHERE lower(option) IN (SELECT lower(n_name) FROM nation)")
 def options_semi(spark: SparkSession, d: str) -> DataFrame:
-    return match.sourced_options(spark.createDataFrame([("france",), ("Nowhere",), ("CHINA",)], "option string"), table(spark, d, "nation").select(F.col("n_name").alias("name")))
+    return match.sourced_options(spark.createDataFrame([("nation_3",), ("Nowhere",), ("NATION_11",)], "option string"), table(spark, d, "nation").select(F.col("n_name").alias("name")))
 
 
 @query("""WITH s AS (SELECT id, name_en AS f, regexp_replace(name_en, '(?i)^(?:st\\.?|saint)\\s+', '') AS b FROM saints_ar_seed),

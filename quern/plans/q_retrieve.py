@@ -1 +1,224 @@
-"""Queries."""
+"""Queries over retrieval: vectors, words, merges, relevance, sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import text as T
+from quern.operators import ingest, retrieve
+from quern.operators.ranking import positioned, top_per_group
+from quern.plans import registry as R
+from quern.plans.registry import query, table
+
+_Q = (0, 7, 42)
+_DIST = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
+_KNN = f"""q AS (SELECT vec_id AS q_id, embedding FROM embeddings WHERE vec_id IN {_Q}),
+  s AS (SELECT q.q_id, e.vec_id, e.label, round({_DIST}, 6) AS distance, {_DIST} AS exact FROM embeddings e, q),
+  r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY exact, vec_id) AS rank FROM s)"""
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "embeddings")
+    return e, e.where(F.col("vec_id").isin(*_Q)).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vector"))
+
+
+@query(f"WITH {_KNN} SELECT q_id, vec_id, distance, rank::INT AS rank FROM r WHERE rank <= 10")
+def knn_topk(spark: SparkSession, d: str) -> DataFrame:
+    e, q = _vectors(spark, d)
+    return retrieve.knn(e, q, 10, "vec_id").withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {_KNN.replace('FROM embeddings e, q', 'FROM embeddings e, q WHERE e.label = 1')} SELECT q_id, vec_id, distance, rank::INT AS rank FROM r WHERE rank <= 10")
+def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
+    e, q = _vectors(spark, d)
+    return retrieve.knn(e, q, 10, "vec_id", where=F.col("label") == 1).withColumn("distance", F.round("distance", 6))
+
+
+def _hits(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
+    e, q = _vectors(spark, d)
+    found = retrieve.knn(e, q, n, "vec_id")
+    return found.join(e.select("vec_id", "label"), "vec_id").select(F.col("q_id").alias("ordinal"), "rank", "vec_id", "label")
+
+
+_FUSED = """f AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY q_id, rank) AS first FROM r WHERE rank <= 10)"""
+
+
+@query(f"WITH {_KNN}, {_FUSED} SELECT q_id AS ordinal, rank::INT AS rank, vec_id, label, (row_number() OVER (ORDER BY q_id, rank) - 1)::INT AS position FROM f WHERE first = 1 ORDER BY q_id, rank LIMIT 16")
+def multi_query_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.fuse(_hits(spark, d), ["vec_id"], 16)
+
+
+@query(f"""WITH {_KNN}, {_FUSED}, b AS (SELECT *, CASE WHEN label = 2 THEN 0 ELSE 1 END AS boost FROM f WHERE first = 1)
+  SELECT q_id AS ordinal, rank::INT AS rank, vec_id, label, (row_number() OVER (ORDER BY boost, q_id, rank) - 1)::INT AS position FROM b ORDER BY boost, q_id, rank LIMIT 16""")
+def entity_boost(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.fuse(_hits(spark, d), ["vec_id"], 16, boost=F.col("label") == 2)
+
+
+@query(f"""WITH m AS (SELECT sort_order AS ordinal, {R.collapse('content')} AS query FROM chat_messages WHERE content IS NOT NULL AND sort_order IS NOT NULL),
+  f AS (SELECT *, row_number() OVER (PARTITION BY lower(query) ORDER BY ordinal, query) AS n FROM m WHERE query <> '')
+  SELECT ordinal, query FROM f WHERE n = 1 ORDER BY ordinal, query LIMIT 8""")
+def distinct_queries(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "chat_messages").where("content is not null and sort_order is not null")
+    return retrieve.distinct_queries(m.select(F.col("sort_order").alias("ordinal"), F.col("content").alias("query")))
+
+
+_EXPANSIONS = [(0, "fast", "fasting and prayer"), (1, "fast", "the great fast"), (2, "^who (was|is)", "life and teaching"), (3, "feast", "the calendar of feasts")]
+
+
+@query(f"""WITH q AS (SELECT DISTINCT id, content FROM chat_messages WHERE content IS NOT NULL AND lower(trim(role)) = 'user'), r(rule_no, pattern, expansion) AS (VALUES {', '.join(f"({n}, '{p}', '{e}')" for n, p, e in _EXPANSIONS)})
+  SELECT id AS q_id, -1 AS ordinal, content AS query FROM q UNION ALL SELECT id, rule_no, expansion FROM q JOIN r ON regexp_matches(lower(content), pattern)""")
+def query_expand(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "chat_messages").where("content is not null and lower(trim(role)) = 'user'").select(F.col("id").alias("q_id"), F.col("content").alias("question")).distinct()
+    return retrieve.expand_queries(q, spark.createDataFrame(_EXPANSIONS, "rule_no int, pattern string, expansion string"))
+
+
+_TERMS, _PHRASES = ["desert", "well", "silence"], ["desert well", "the old oil lamp"]
+_SCORE = f"""{' + '.join(f"10 * contains(h, '{t}')::INT" for t in _TERMS)} + {' + '.join(f"120 * contains(h, '{p}')::INT" for p in _PHRASES)}
+  + 25 * (contains(h, '{_TERMS[0]}') AND contains(h, '{_TERMS[1]}'))::INT + 40 * contains(h, '{' '.join(_TERMS[:2])}')::INT"""
+_CHUNKS = "c AS (SELECT id, any_value(text) AS text, any_value(title) AS title, any_value(pdf) AS pdf, any_value(page) AS page, any_value(url) AS url, any_value(source_type) AS source_type, any_value(chunk_index) AS chunk_index FROM chunks GROUP BY id)"
+_LEX = f"""{_CHUNKS}, h AS (SELECT *, lower(concat_ws(' ', text, title, pdf)) AS h FROM c), s AS (SELECT *, {_SCORE} AS score FROM h),
+  k AS (SELECT *, row_number() OVER (PARTITION BY title, pdf, page, chunk_index, substr(text, 1, 80) ORDER BY score DESC, coalesce(page, 0), id) AS n FROM s WHERE score > 0)"""
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").dropDuplicates(["id"])
+
+
+def _haystack() -> Column:
+    return F.lower(F.concat_ws(" ", "text", "title", "pdf"))
+
+
+def _lexical(spark: SparkSession, d: str, k: int) -> DataFrame:
+    key = ["title", "pdf", "page", "chunk_index", F.substring("text", 1, 80)]
+    return retrieve.lexical_search(_chunks(spark, d), _haystack(), _TERMS, _PHRASES, key, ["id"], k)
+
+
+@query(f"WITH {_LEX} SELECT id, score::INT AS score, (row_number() OVER (ORDER BY score DESC, coalesce(page, 0), id) - 1)::INT AS position FROM k WHERE n = 1 ORDER BY score DESC, coalesce(page, 0), id LIMIT 16")
+def lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    return _lexical(spark, d, 40).select("id", "score", "position")
+
+
+@query(f"WITH {_LEX} SELECT id, score::INT AS score FROM s WHERE score > 0")
+def lexical_score(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).select("id", retrieve.lexical_score(_haystack(), _TERMS, _PHRASES).alias("score")).where("score is not null")
+
+
+@query(f"""WITH s AS (SELECT id, {R.arabic_key(R.arabic_display('name_ar'))} AS k FROM saints_ar_seed), w AS (SELECT id, k, list_filter(string_split(k, ' '), lambda x: regexp_matches(x, '[\\x{{600}}-\\x{{6ff}}]')) AS ws FROM s),
+  t AS (SELECT id, k, list_filter(ws, lambda x: length(x) >= 3 AND x NOT IN ('القديس')) AS terms,
+    array_to_string(list_filter(list_transform(list_filter(ws, lambda x: x NOT IN ('القديس')), lambda x: CASE WHEN starts_with(x, 'ال') AND length(x) > 2 THEN substr(x, 3) ELSE x END), lambda x: x <> '' AND x NOT IN ('القديس')), ' ') AS bare FROM w)
+  SELECT id, array_to_string({R.distinct('terms')}, '|') AS terms, array_to_string(list_filter(CASE WHEN k = bare THEN [k] ELSE [k, bare] END, lambda p: length(p) >= 3), '|') AS phrases FROM t""")
+def lexical_terms(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("name_ar")
+    return table(spark, d, "saints_ar_seed").select("id", F.array_join(retrieve.lexical_terms(n, ["القديس"]), "|").alias("terms"), F.array_join(retrieve.lexical_phrases(n, ["القديس"], "ال"), "|").alias("phrases"))
+
+
+@query(f"""WITH {_LEX}, l AS (SELECT id, substr(text, 1, 100) AS head, row_number() OVER (ORDER BY score DESC, coalesce(page, 0), id) - 1 AS p FROM k WHERE n = 1),
+  v AS (SELECT id, substr(text, 1, 100) AS head, row_number() OVER (ORDER BY length(text) DESC, id) - 1 AS p FROM c),
+  u AS (SELECT id, head, 0 AS part, p FROM l WHERE p < 8 UNION ALL SELECT id, head, 1, p FROM v WHERE p < 8), f AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY part, p) AS n FROM u)
+  SELECT id, (row_number() OVER (ORDER BY part, p) - 1)::INT AS position FROM f WHERE n = 1 ORDER BY part, p LIMIT 12""")
+def hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
+    head = F.substring("text", 1, 100).alias("head")
+    lexical = _lexical(spark, d, 8).select("id", head, "position")
+    other = _chunks(spark, d).orderBy(F.desc(F.length("text")), "id").limit(8)
+    other = positioned(other, [F.desc(F.length("text")), "id"]).select("id", head, "position")
+    return retrieve.hybrid(lexical, other, ["head"], 12).select("id", "position")
+
+
+STOP = ["who", "was", "what", "did", "the", "and", "for", "about", "tell", "please", "explain", "teach", "brothers"]
+_FIRST = f"""m AS (SELECT sort_order AS ordinal, {R.collapse('content')} AS query FROM chat_messages WHERE content IS NOT NULL AND sort_order IS NOT NULL),
+  f AS (SELECT *, row_number() OVER (PARTITION BY lower(query) ORDER BY ordinal, query) AS n FROM m WHERE query <> ''), eight AS (SELECT ordinal, query FROM f WHERE n = 1 ORDER BY ordinal, query LIMIT 8),
+  q AS (SELECT list_filter(string_split({R.ascii_key('query')}, ' '), lambda w: length(w) >= 3 AND w NOT IN ({', '.join(f"'{x}'" for x in STOP)})) AS ks FROM eight), u AS (SELECT DISTINCT {R.distinct('ks')} AS ks FROM q)"""
+
+
+@query(f"""WITH {_CHUNKS}, t AS (SELECT id, {R.ascii_key("concat_ws(' ', text, title, pdf)")} AS h FROM c), q1(ks) AS (VALUES (['desert', 'well', 'silence']), (['lamp']), (['unheard', 'desert'])),
+  x AS (SELECT array_to_string(ks, ' ') AS q, count(*) FILTER (WHERE h <> '' AND len(list_filter(ks, lambda w: contains(h, w))) >= least(2, len(ks))) AS accepted, count(*) AS total FROM t, q1 GROUP BY 1)
+  SELECT q, accepted, total - accepted AS rejected FROM x""")
+def relevance_filter(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for ks in (["desert", "well", "silence"], ["lamp"], ["unheard", "desert"]):
+        flag = retrieve.relevant(T.ascii_key(F.concat_ws(" ", "text", "title", "pdf")), F.array().cast("array<string>"), F.array(*[F.lit(k) for k in ks]))
+        counts = retrieve.relevance_split(_chunks(spark, d), flag)[1].withColumn("q", F.lit(" ".join(ks)))
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+@query(f"""WITH w AS (SELECT doc_id, title, i, {R.strip("substr(text, (i * 3100 + 1)::BIGINT, 3500)")} AS chunk FROM documents, LATERAL (SELECT unnest(range(0, greatest(0, ceil((length(text) - 3500) / 3100.0))::BIGINT + 1)) AS i) WHERE text IS NOT NULL),
+  c AS (SELECT doc_id, title, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, chunk FROM w WHERE chunk <> ''),
+  h AS (SELECT *, {R.ascii_key("concat_ws(' ', chunk, title)")} AS h FROM c), q AS (SELECT ['desert', 'well', 'silence'] AS ks),
+  s AS (SELECT doc_id, chunk_index, substr(chunk, 1, 240) AS preview, len(list_filter(ks, lambda k: contains(h, k))) AS hits FROM h, q)
+  SELECT doc_id, chunk_index, preview, hits::INT AS hits FROM s WHERE hits >= 2 ORDER BY hits DESC, doc_id, chunk_index LIMIT 16""")
+def relevant_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: documents to chunks to the ones that answer a question best."""
+    words = F.array(*[F.lit(w) for w in ("desert", "well", "silence")])
+    chunks = ingest.chunks(table(spark, d, "documents").select("doc_id", "title", "text"))
+    text = T.ascii_key(F.concat_ws(" ", "text", "title"))
+    hits = F.size(F.filter(words, lambda w: text.contains(w)))
+    found = chunks.where(retrieve.relevant(text, F.array().cast("array<string>"), words))
+    return found.select("doc_id", "chunk_index", F.substring("text", 1, 240).alias("preview"), hits.alias("hits")).orderBy(F.desc("hits"), "doc_id", "chunk_index").limit(16)
+
+
+@query(f"""WITH {_FIRST}, {_CHUNKS}, t AS (SELECT id, {R.ascii_key("concat_ws(' ', text, title, pdf)")} AS h FROM c),
+  x AS (SELECT array_to_string(ks, ' ') AS q, id, len(list_filter(ks, lambda w: contains(h, w))) AS hits FROM u, t WHERE h <> '' AND len(list_filter(ks, lambda w: contains(h, w))) >= least(2, len(ks))),
+  r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY hits DESC, id) AS rank FROM x) SELECT q, id, hits::INT AS hits, rank::INT AS rank FROM r WHERE rank <= 5""")
+def question_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The questions of one request (at most eight) against every chunk: a stated query set against all rows."""
+    m = table(spark, d, "chat_messages").where("content is not null and sort_order is not null")
+    asked = retrieve.distinct_queries(m.select(F.col("sort_order").alias("ordinal"), F.col("content").alias("query")))
+    words = asked.select(T.keywords(F.col("query"), STOP).alias("ks")).distinct()
+    texts = _chunks(spark, d).select("id", T.ascii_key(F.concat_ws(" ", "text", "title", "pdf")).alias("h"))
+    flag = retrieve.relevant(F.col("h"), F.array().cast("array<string>"), F.col("ks"))
+    pairs = texts.join(F.broadcast(words), flag).select(F.array_join("ks", " ").alias("q"), "id", F.size(F.filter("ks", lambda w: F.col("h").contains(w))).alias("hits"))
+    return top_per_group(pairs, ["q"], [F.desc("hits"), "id"], 5)
+
+
+@query(f"""WITH m AS (SELECT DISTINCT id, content FROM chat_messages WHERE content IS NOT NULL)
+  SELECT id, regexp_matches(lower(content), '(?:^|[^\\p{{L}}\\p{{N}}_])(?:list|show|name|what are|which are|give me)(?:[^\\p{{L}}\\p{{N}}_]|$)') AND regexp_matches(lower(content), '(?:^|[^\\p{{L}}\\p{{N}}_])(?:feast|saints|brothers)(?:[^\\p{{L}}\\p{{N}}_]|$)') AS broad,
+    regexp_matches(content, '(?i)^\\s*(?:who|what)\\s+(?:is|are|were|was)(?:[^\\p{{L}}\\p{{N}}_]|$)') AS defines FROM m""")
+def question_kind(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "chat_messages").where("content is not null").select("id", "content").distinct()
+    return m.select("id", retrieve.broad_list(F.col("content"), ["feast", "saints", "brothers"]).alias("broad"), retrieve.definition(F.col("content")).alias("defines"))
+
+
+_LABEL = """CASE WHEN source_type = 'website' THEN CASE WHEN trim(coalesce(title, '')) <> '' AND trim(coalesce(url, '')) <> '' THEN trim(title) || ' (' || trim(url) || ')' WHEN trim(coalesce(title, '')) <> '' THEN trim(title)
+  WHEN trim(coalesce(url, '')) <> '' THEN trim(url) ELSE 'website source' END ELSE coalesce(pdf, 'unknown.pdf') || ' p.' || coalesce(page, 0) END"""
+
+
+@query(f"WITH {_CHUNKS} SELECT id, {_LABEL} AS label, CASE WHEN source_type = 'website' THEN 'website' ELSE 'pdf' END AS kind FROM c")
+def source_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).select("id", retrieve.context_label().alias("label"), retrieve.source_of()["source_type"].alias("kind"))
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    rows = _chunks(spark, d).select("id", "text", "title", "pdf", "page", "url", "source_type", "chunk_index")
+    return positioned(rows.orderBy(F.length("text"), "id").limit(40), [F.length("text"), "id"]).withColumn("rank", F.col("position") + 1)
+
+
+_RANKED = f"{_CHUNKS}, ranked AS (SELECT *, row_number() OVER (ORDER BY length(text), id) AS rank FROM c ORDER BY length(text), id LIMIT 40)"
+
+
+@query(f"""WITH {_RANKED}, s AS (SELECT rank, CASE WHEN source_type = 'website' THEN 'website' ELSE 'pdf' END AS source_type, CASE WHEN source_type = 'website' THEN NULL ELSE coalesce(pdf, 'unknown.pdf') END AS pdf,
+    CASE WHEN source_type = 'website' THEN NULL ELSE coalesce(page, 0) END AS page, CASE WHEN source_type = 'website' THEN nullif(trim(url), '') END AS url, CASE WHEN source_type = 'website' THEN nullif(trim(title), '') END AS title FROM ranked),
+  f AS (SELECT *, row_number() OVER (PARTITION BY source_type, pdf, page, url, title ORDER BY rank) AS n FROM s)
+  SELECT source_type, pdf, page, url, title, (row_number() OVER (ORDER BY rank) - 1)::INT AS position FROM f WHERE n = 1 ORDER BY rank LIMIT 6""")
+def distinct_sources(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.distinct_sources(_ranked(spark, d))
+
+
+@query(f"WITH {_RANKED} SELECT string_agg('[Source: ' || {_LABEL} || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM ranked")
+def context_concat(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.context(_ranked(spark, d))
+
+
+@query(f"""WITH {_RANKED} SELECT count(*) AS n_chunks, 5 AS accepted, 3 AS rejected, array_to_string(list({_LABEL} ORDER BY rank) FILTER (WHERE rank <= 3), '|') AS top,
+  array_to_string(list(substr({R.collapse('text')}, 1, 180) ORDER BY rank) FILTER (WHERE rank <= 3), '|') AS previews FROM ranked""")
+def retrieval_log(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.retrieval_log(_ranked(spark, d), 5, 3).withColumns({"top": F.array_join("top", "|"), "previews": F.array_join("previews", "|")})
+
+
+@query("""WITH m AS (SELECT DISTINCT id, content, sources FROM chat_messages WHERE lower(trim(role)) = 'assistant')
+  SELECT id, CASE WHEN coalesce(sources, '[]') = '[]' OR contains(lower(coalesce(content, '')), 'could not find') THEN 'no-source' WHEN contains(lower(coalesce(content, '')), 'is remembered') THEN 'partial' ELSE 'full' END AS grounding FROM m""")
+def grounding_class(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "chat_messages").where("lower(trim(role)) = 'assistant'").select("id", "content", "sources").distinct()
+    n = F.when(F.coalesce("sources", F.lit("[]")) == "[]", 0).otherwise(1)
+    return m.select("id", retrieve.grounding(F.col("content"), n, ["could not find"], ["is remembered"]).alias("grounding"))
