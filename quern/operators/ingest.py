@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from quern.functions import text as T
 
@@ -104,15 +105,16 @@ def greedy_batches(rows: DataFrame, group: str, order: Sequence[str], size_col:
 
 def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], model: str, text_col: str = "text", max_items: int = BATCH_ITEMS) -> DataFrame:
     """``rows`` with embedding and model; ``embedder`` maps texts to vectors, ``max_items`` at a time."""
-    schema = rows.schema.add("embedding", "array<float>").add("model", "string")
-    at = rows.columns.index(text_col)
+    schema = StructType([*rows.schema.fields, StructField("embedding", ArrayType(FloatType())), StructField("model", StringType())])
+    names = list(rows.columns)
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, max_items):
                 part = batch.slice(start, max_items)
                 vectors = embedder([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array([model] * part.num_rows)], names=[*rows.columns, "embedding", "model"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array([model] * part.num_rows)], names=[*names, "embedding", "model"])
 
     return rows.mapInArrow(run, schema)
 
