@@ -16,9 +16,11 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from quern.llm.scratch import materialize
 
@@ -37,6 +39,8 @@ MISREAD_RATIO = 8
 KNOWN_COUNT = 5
 #: Lines of a page's top and bottom that can be heads and feet.
 EDGE = 4
+#: Share of the page's width that a heading within the text has at most.
+HEADING_WIDTH = 0.8
 #: Pages in one block when the page after a page is looked for.
 PAGE_BLOCK = 256
 #: Distinct words a task counts before it passes the counts on.
@@ -90,25 +94,34 @@ def page_number(line: str) -> int | None:
     return int(as_digits) if as_digits.isdigit() and len(t) <= 3 else None
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """(pdf, page, line_no, line, from_top, from_bottom, n_filled): lines of each page once; places count filled lines from 1."""
+@F.pandas_udf(IntegerType())
+def page_number_udf(lines: pd.Series) -> pd.Series:
+    return lines.map(page_number, na_action="ignore").astype("Int32")
+
+
+def page_table(pages: DataFrame) -> DataFrame:
+    """(pdf, page, lines): every page once; of two texts the smaller stands."""
     once = pages.where("pdf is not null and page is not null and text is not null").groupBy("pdf", "page").agg(F.min("text").alias("text"))
+    return once.select("pdf", "page", F.split("text", "\n", -1).alias("lines"))
+
+
+def page_lines(once: DataFrame) -> DataFrame:
+    """(pdf, page, line_no, line, from_top, from_bottom, width): filled lines; places count them from 1, width is the page's longest."""
     filled = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get(F.col("lines"), i).rlike(r"[^\s\p{Z}]"))
-    split = once.select("pdf", "page", F.split("text", "\n", -1).alias("lines")).withColumn("filled", filled)
-    out = split.select("pdf", "page", "filled", F.size("filled").alias("n_filled"), F.posexplode("lines").alias("pos", "line"))
-    top = F.array_position("filled", F.col("pos").cast("int"))
-    return out.select("pdf", "page", (F.col("pos") + 1).cast("int").alias("line_no"), "line", F.when(top > 0, top).cast("int").alias("from_top"), F.when(top > 0, F.col("n_filled") - top + 1).cast("int").alias("from_bottom"), "n_filled")
+    split = once.withColumn("filled", filled).withColumn("width", F.array_max(F.transform("lines", F.length)))
+    out = split.select("pdf", "page", "lines", F.size("filled").alias("n"), "width", F.posexplode("filled").alias("k", "pos"))
+    return out.select("pdf", "page", (F.col("pos") + 1).alias("line_no"), F.get(F.col("lines"), F.col("pos")).alias("line"), (F.col("k") + 1).alias("from_top"), (F.col("n") - F.col("k")).alias("from_bottom"), "width")
 
 
 def furniture(lines: DataFrame) -> DataFrame:
     """(pdf, page, line_no): running heads and feet, page numbers and stamps of ``page_lines``."""
-    number = F.udf(page_number, "int")
     edge = (F.col("from_top") <= EDGE) | (F.col("from_bottom") <= EDGE)
     stamp = F.trim("line").rlike(r"^[^!?؟,،]{3,38}[\s№#:][0-9OoIlSB٠-٩]{3,6}$")
-    short = (F.length(F.trim("line")) <= 70) & ~F.trim("line").rlike(r"[.!?؟:;,،؛][\"”’»]?$") & ~F.trim("line").rlike(rf"[{HYPHENS}]$")
-    few = lines.where(F.col("from_top").isNotNull() & (short | edge | stamp))
+    narrow = edge | (F.length(F.trim("line")) <= HEADING_WIDTH * F.col("width"))
+    short = narrow & (F.length(F.trim("line")) <= 70) & ~F.trim("line").rlike(r"[.!?؟:;,،؛][\"”’»]?$") & ~F.trim("line").rlike(rf"[{HYPHENS}]$")
+    few = lines.where(short | edge | stamp)
     cand = few.select("pdf", "page", "line_no", "line", "from_top", "from_bottom", fuzzy(F.col("line")).alias("key"), edge.alias("edge"), stamp.alias("stamp"), short.alias("short"))
-    cand = materialize(cand.withColumn("number", F.when(F.col("edge") & (F.length("line") <= 60) & (F.length("key") <= 12), number(F.col("line")))), "page-edges")
+    cand = materialize(cand.withColumn("number", F.when(F.col("edge") & (F.length("line") <= 60) & (F.length("key") <= 12), page_number_udf(F.col("line")))), "page-edges")
 
     # page numbers: the distance to the page is shared by other pages of the book
     nums = cand.where("number is not null and (from_top <= 2 or from_bottom <= 2)").withColumn("shift", F.col("number") - F.col("page"))
@@ -143,37 +156,50 @@ def furniture(lines: DataFrame) -> DataFrame:
     return taken.unionByName(top).unionByName(bottom).distinct()
 
 
-def body_lines(lines: DataFrame, running: DataFrame) -> DataFrame:
-    """Filled lines that are no furniture, each with the one that follows in the book (nxt: page, line_no, line).
-
-    The next line is found within the page; a page's last line looks for the first line of the page
-    after it, in blocks of pages, so that no book has to be ordered in one task.
-    """
-    text = lines.where("from_top is not null").join(running, ["pdf", "page", "line_no"], "left_anti").select("pdf", "page", "line_no", "line")
-    here = Window.partitionBy("pdf", "page").orderBy("line_no")
-    text = text.withColumn("nxt", F.lead(F.struct("page", "line_no", "line")).over(here))
-    firsts = text.groupBy("pdf", "page").agg(F.min(F.struct("page", "line_no", "line")).alias("first")).withColumn("block", F.floor(F.col("page") / PAGE_BLOCK))
-    near = firsts.withColumn("near", F.lead("first").over(Window.partitionBy("pdf", "block").orderBy("page")))
-    blocks = firsts.groupBy("pdf", "block").agg(F.min("first").alias("first"))
-    far = blocks.select("pdf", "block", F.lead("first").over(Window.partitionBy("pdf").orderBy("block")).alias("far"))
-    after = near.join(far, ["pdf", "block"]).select("pdf", "page", F.coalesce("near", "far").alias("after"))
-    return text.join(after, ["pdf", "page"]).select("pdf", "page", "line_no", "line", F.coalesce("nxt", "after").alias("nxt"))
-
-
 WORD = r"[\p{L}\p{M}\p{N}_@!|$]+"
 _ENDING = rf"({WORD})[{HYPHENS}]\s*$"
 _BEGINNING = rf"^\s*({WORD})"
 
 
-def split_cuts(text: DataFrame) -> DataFrame:
-    """``body_lines`` with the cut pieces apart: left and right piece, hyphen, and inner, the line without either piece."""
-    cut = F.col("line").rlike(_ENDING) & F.coalesce(F.col("nxt.line").rlike(_BEGINNING), F.lit(False))
-    cut_text = text.withColumn("is_cut", cut)
-    right = cut_text.where("is_cut").select("pdf", F.col("nxt.page").alias("page"), F.col("nxt.line_no").alias("line_no"), F.lit(True).alias("continues"))
-    out = cut_text.join(right, ["pdf", "page", "line_no"], "left").withColumn("continues", F.coalesce("continues", F.lit(False)))
+def body_pages(once: DataFrame, running: DataFrame) -> DataFrame:
+    """(pdf, page, body): each page's filled lines without furniture, as structs of page, line_no and line."""
+    out = once.join(running.groupBy("pdf", "page").agg(F.collect_set("line_no").alias("run")), ["pdf", "page"], "left")
+    structs = F.transform("lines", lambda line, i: F.struct(F.col("page").alias("page"), (i + 1).alias("line_no"), line.alias("line")))
+    kept = F.filter(structs, lambda s: s["line"].rlike(r"[^\s\p{Z}]") & ~F.coalesce(F.array_contains(F.col("run"), s["line_no"]), F.lit(False)))
+    return out.select("pdf", "page", kept.alias("body")).where("size(body) > 0")
+
+
+def page_neighbours(pages: DataFrame, column: str, backwards: bool = False) -> DataFrame:
+    """(pdf, page, near): ``column`` of the page that follows in the book (or stands before it).
+
+    Page numbers have gaps; the search goes by blocks of pages, so no book is ordered in one task.
+    """
+    move, end = (F.lag, F.max) if backwards else (F.lead, F.min)
+    rows = pages.select("pdf", "page", F.struct("page", F.col(column).alias("v")).alias("v"), F.floor(F.col("page") / PAGE_BLOCK).alias("block"))
+    near = rows.withColumn("near", move("v").over(Window.partitionBy("pdf", "block").orderBy("page")))
+    ends = rows.groupBy("pdf", "block").agg(end("v").alias("v"))
+    far = ends.select("pdf", "block", move("v").over(Window.partitionBy("pdf").orderBy("block")).alias("far"))
+    return near.join(far, ["pdf", "block"]).select("pdf", "page", F.coalesce("near", "far")["v"].alias("near"))
+
+
+def split_cuts(body: DataFrame) -> DataFrame:
+    """Lines of ``body_pages`` with the pieces of cut words apart: left and right piece, hyphen, and inner, the line without either.
+
+    nxt (page, line_no, line) is the line that follows in the book.
+    """
+    edges = body.select("pdf", "page", F.col("body")[0].alias("first"), F.element_at("body", -1).alias("last"))
+    around = page_neighbours(edges, "first").withColumnRenamed("near", "after").join(page_neighbours(edges, "last", True).withColumnRenamed("near", "before"), ["pdf", "page"])
+    text = body.join(around, ["pdf", "page"]).select("pdf", "page", "body", "after", "before", F.posexplode("body").alias("i", "s"))
+    text = text.select(
+        "pdf", "page", "s.line_no", "s.line",
+        F.coalesce(F.get(F.col("body"), F.col("i") + 1), F.col("after")).alias("nxt"),
+        F.coalesce(F.when(F.col("i") > 0, F.get(F.col("body"), F.col("i") - 1)), F.col("before"))["line"].alias("previous"),
+    )
+    text = text.withColumn("is_cut", F.col("line").rlike(_ENDING) & F.coalesce(F.col("nxt.line").rlike(_BEGINNING), F.lit(False)))
+    text = text.withColumn("continues", F.coalesce(F.col("previous").rlike(_ENDING), F.lit(False)) & F.col("line").rlike(_BEGINNING))
     inner = F.when(F.col("is_cut"), F.regexp_replace("line", _ENDING, " ")).otherwise(F.col("line"))
     inner = F.when(F.col("continues"), F.regexp_replace(inner, _BEGINNING, " ")).otherwise(inner)
-    return out.select(
+    return text.select(
         "pdf", "page", "line_no", "line", "nxt", "is_cut", "continues", inner.alias("inner"),
         F.when(F.col("is_cut"), F.regexp_extract("line", _ENDING, 1)).alias("left"),
         F.when(F.col("is_cut"), F.regexp_extract("line", rf"([{HYPHENS}])\s*$", 1)).alias("hyphen"),
@@ -281,17 +307,17 @@ def _sized(small: DataFrame, limit: int = 500_000) -> DataFrame:
 
 
 def repair(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Lines, furniture, cut lines, joins and misreads of ``pages`` (pdf, page, text).
+    """Page table, furniture, cut lines, joins and misreads of ``pages`` (pdf, page, text).
 
     A page given twice counts once (of two texts the smaller stands). Rows without pdf, page or text
     are left out; blank lines belong to nothing.
     """
-    lines = materialize(page_lines(pages), "page-lines")
-    running = materialize(furniture(lines), "furniture")
-    cuts = materialize(split_cuts(body_lines(lines, running)), "cut-lines")
+    once = materialize(page_table(pages), "pages")
+    running = materialize(furniture(page_lines(once)), "furniture")
+    cuts = materialize(split_cuts(materialize(body_pages(once, running), "bodies")), "cut-lines")
     vocab = materialize(vocabulary(cuts), "vocabulary")
     joins, misread = joins_and_misreads(cuts, vocab)
-    return lines, running, cuts, materialize(joins, "joins"), materialize(misread, "misread")
+    return once, running, cuts, materialize(joins, "joins"), materialize(misread, "misread")
 
 
 def found(pages: DataFrame) -> DataFrame:
@@ -309,7 +335,7 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     A paragraph begins after a blank line or with an indented one; pages go on where the one before
     ended; a word cut in two stands whole on the line where it begins.
     """
-    lines, running, cuts, joins, misread = repair(pages)
+    once, _, cuts, joins, misread = repair(pages)
     keys = ["pdf", "page", "line_no"]
     fixes = misread.where("stood is not null").groupBy(*keys).agg(F.collect_set(F.struct("word", "stood")).alias("fixes"))
     right = joins.select("pdf", F.col("nxt.page").alias("page"), F.col("nxt.line_no").alias("line_no"), F.lit(True).alias("took"))
@@ -318,16 +344,14 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     fixed = F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<word:string,stood:string>>")), F.col("line"), lambda acc, f: F.replace(acc, f["word"], f["stood"]))
     fixed = F.when(F.col("took"), F.regexp_replace(fixed, _BEGINNING, "")).otherwise(fixed)
     fixed = F.when(F.col("whole").isNotNull(), F.concat(F.regexp_replace(fixed, _ENDING, ""), "whole")).otherwise(fixed)
-    blank_before = lines.where("from_top is null").select("pdf", "page", (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("gap"))
+    blanks = once.select("pdf", "page", F.posexplode("lines").alias("i", "line")).where(~F.col("line").rlike(r"[^\s\p{Z}]"))
+    blank_before = blanks.select("pdf", "page", (F.col("i") + 2).alias("line_no"), F.lit(True).alias("gap"))
     text = text.join(blank_before, keys, "left").select(*keys, F.trim(fixed).alias("part"), (F.col("gap").isNotNull() | F.col("line").rlike(r"^\s{2,}")).alias("begins"))
     text = text.withColumn("n", F.sum(F.when(F.col("begins"), 1).otherwise(0)).over(Window.partitionBy("pdf", "page").orderBy("line_no")))
     pieces = text.groupBy("pdf", "page", "n").agg(F.min("line_no").alias("line_no"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "part"))), lambda p: p["part"]), " ").alias("text"))
     # a piece without a beginning of its own goes on from the last piece of the page before
-    last = pieces.groupBy("pdf", "page").agg(F.max("n").alias("last_n")).withColumn("block", F.floor(F.col("page") / PAGE_BLOCK))
-    near = last.withColumn("near", F.lag(F.struct("page", "last_n")).over(Window.partitionBy("pdf", "block").orderBy("page")))
-    blocks = last.groupBy("pdf", "block").agg(F.max(F.struct("page", "last_n")).alias("end"))
-    far = blocks.select("pdf", "block", F.lag("end").over(Window.partitionBy("pdf").orderBy("block")).alias("far"))
-    before = near.join(far, ["pdf", "block"]).select("pdf", "page", F.coalesce("near", "far").alias("b"))
+    last = pieces.groupBy("pdf", "page").agg(F.struct(F.col("page").alias("page"), F.max("n").alias("last_n")).alias("end"))
+    before = page_neighbours(last, "end", True).withColumnRenamed("near", "b")
     pieces = pieces.join(before, ["pdf", "page"])
     onward = (F.col("n") == 0) & F.col("b").isNotNull()
     home_page, home_n = F.when(onward, F.col("b.page")).otherwise(F.col("page")), F.when(onward, F.col("b.last_n")).otherwise(F.col("n"))
