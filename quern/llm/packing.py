@@ -19,6 +19,8 @@ from quern.llm.scratch import materialize
 
 #: Levels of a capacity; a level's items are taken as large as its upper end.
 LEVELS = 512
+#: Small items in a unit, and the levels up to which items are small.
+BUNDLE, SMALL_LEVELS = 8, 8
 
 
 def bin_kinds(counts: dict[int, int], levels: int = LEVELS) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -63,31 +65,56 @@ def pack(items: DataFrame, bins: list[tuple[str, int]], levels: int = LEVELS) ->
     parts = sized.withColumn("part_no", F.explode(F.sequence(F.lit(0), n_parts - 1)))
     start = F.col("part_no") * F.col("capacity")
     parts = parts.select("bin_name", "capacity", "doc_id", "part_no", start.alias("start_token"), F.least(F.col("capacity"), F.col("n_tokens") - start).alias("n_tokens"))
-    parts = parts.withColumn("level", F.ceil(F.col("n_tokens") * levels / F.col("capacity")).cast("int")).withColumn("item", F.struct("doc_id", "part_no"))
-    histogram: dict[str, dict[int, int]] = {}
-    for r in parts.groupBy("bin_name", "level").count().collect():
-        histogram.setdefault(r.bin_name, {})[r.level] = r["count"]
-    places: dict[tuple[str, int], list[tuple[int, int, int]]] = {}
-    for name, counts in histogram.items():
-        first_bin, filled = 0, {}
-        for times, use in bin_kinds(counts, levels):
-            for level, n in use:
-                at = filled.get(level, 0)
-                places.setdefault((name, level), []).append((at, n, first_bin))
-                filled[level] = at + times * n
-            first_bin += times
-    if not places:
+    fine = F.ceil(F.col("n_tokens") * (levels * BUNDLE) / F.col("capacity")).cast("int")
+    # positive classes are levels, negative ones the finer classes of small items
+    cls = F.when(fine <= SMALL_LEVELS * BUNDLE, -fine).otherwise(F.ceil(fine / F.lit(BUNDLE)).cast("int"))
+    parts = parts.withColumns({"cls": cls, "item": F.struct("doc_id", "part_no")})
+    counts: dict[str, dict[int, int]] = {}
+    for r in parts.groupBy("bin_name", "cls").count().collect():
+        counts.setdefault(r.bin_name, {})[r.cls] = r["count"]
+    rows = [(name, *row) for name, c in counts.items() for row in place_classes(c, levels)]
+    if not rows:
         return spark.createDataFrame([], schema)
-    rows = [(name, level, [tuple(map(int, p)) for p in ps]) for (name, level), ps in places.items()]
-    table = spark.createDataFrame(rows, "bin_name string, level int, places array<struct<from_rank: long, in_each: long, first_bin: long>>")
-    total = sum(n for counts in histogram.values() for n in counts.values())
-    placed = ranked(parts, ["bin_name", "level"], ["item"], total).join(F.broadcast(table), ["bin_name", "level"])
-    mine = F.element_at(F.filter("places", lambda p: p["from_rank"] <= F.col("rank")), -1)
-    placed = placed.withColumn("place", mine)
-    bin_no = F.col("place.first_bin") + F.floor((F.col("rank") - F.col("place.from_rank")) / F.col("place.in_each"))
+    place = "array<struct<from_unit: long, in_each: long, first_bin: long>>"
+    table = spark.createDataFrame(rows, f"bin_name string, cls int, bundled long, bundle_from long, bundles {place}, single_from long, singles {place}")
+    total = sum(n for c in counts.values() for n in c.values())
+    placed = ranked(parts, ["bin_name", "cls"], ["item"], total).join(F.broadcast(table), ["bin_name", "cls"])
+    in_bundle = F.col("rank") < F.col("bundled")
+    unit = F.when(in_bundle, F.col("bundle_from") + F.floor(F.col("rank") / BUNDLE)).otherwise(F.col("single_from") + F.col("rank") - F.col("bundled"))
+    placed = placed.withColumn("unit", unit).withColumn("places", F.when(in_bundle, F.col("bundles")).otherwise(F.col("singles")))
+    placed = placed.withColumn("place", F.element_at(F.filter("places", lambda p: p["from_unit"] <= F.col("unit")), -1))
+    bin_no = F.col("place.first_bin") + F.floor((F.col("unit") - F.col("place.from_unit")) / F.col("place.in_each"))
     return placed.select("bin_name", bin_no.cast("long").alias("bin_no"), F.floor(F.col("capacity") / F.col("n_tokens")).cast("int").alias("reciprocal_class"), "doc_id", "part_no", "start_token", "n_tokens")
 
 
+def place_classes(counts: dict[int, int], levels: int = LEVELS) -> list[tuple]:
+    """Where the units of every class go: (class, items in bundles, first bundle's unit, places, first single's unit, places).
+
+    Units of one level are numbered on through its classes; a place says from which unit on a bin
+    takes how many of them, beginning with which bin.
+    """
+    units: dict[int, int] = {}
+    rows = []
+    for cls, n in sorted(counts.items()):
+        fine = -cls
+        bundles, singles = divmod(n, BUNDLE) if cls < 0 else (0, n)
+        high, low = (fine, -(-fine // BUNDLE)) if cls < 0 else (cls, cls)
+        bundle_from = units.get(high, 0)
+        units[high] = bundle_from + bundles
+        single_from = units.get(low, 0)
+        units[low] = single_from + singles
+        rows.append((cls, bundles * BUNDLE, bundle_from, high, single_from, low))
+    places: dict[int, list[tuple[int, int, int]]] = {}
+    first_bin, filled = 0, {}
+    for times, use in bin_kinds(units, levels):
+        for level, n in use:
+            at = filled.get(level, 0)
+            places.setdefault(level, []).append((at, n, first_bin))
+            filled[level] = at + times * n
+        first_bin += times
+    return [(cls, bundled, b, places.get(high, []), s, places.get(low, [])) for cls, bundled, b, high, s, low in rows]
+
+
 def pack_documents(docs: DataFrame, bin_sizes: DataFrame, **tokenizer) -> DataFrame:
     """Pack ``docs`` (doc_id, text), measured in tokens, into every capacity of ``bin_sizes`` (a fixed, small table)."""
     from quern.llm.tokens import token_counts

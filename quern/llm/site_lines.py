@@ -115,7 +115,7 @@ def candidates(hashes: DataFrame, min_docs: int = MIN_DOCS, min_share: float = M
         merged.where("key is not null")
         .select("site", "key", "count")
         .join(sites, "site")
-        .where(F.col("count") + F.col("error") >= F.greatest(F.lit(min_docs), F.col("docs") * min_share))
+        .where((F.col("count") + F.col("error") >= min_docs) & ((F.col("count") + F.col("error")) / F.col("docs") >= min_share))
         .select("site", "key", "docs")
     )
 
@@ -132,7 +132,7 @@ def repeated(hashes: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN
         seen.join(_sized(wanted), ["site", "key"])
         .groupBy("site", "key")
         .agg(F.count("*").alias("n_docs"), F.first("docs").alias("site_docs"))
-        .where((F.col("n_docs") >= min_docs) & (F.col("n_docs") >= F.col("site_docs") * min_share))
+        .where((F.col("n_docs") >= min_docs) & (F.col("n_docs") / F.col("site_docs") >= min_share))
     )
 
 
