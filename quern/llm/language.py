@@ -30,6 +30,8 @@ SPELLINGS = {
 }
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
+#: Added to every n-gram's count; one, as names seen in one language only would else outweigh a short question.
+SMOOTHING = 1.0
 #: Labelled rows of each language that the classifier is fitted on, at most. Up to 1000 the optimizer cuts
 #: each partition down to the sample before the shuffle (its window group limit).
 SAMPLE_PER_LANGUAGE = 1000
@@ -109,7 +111,7 @@ def fit(texts: list[str], labels: list[str]) -> np.ndarray:
         of = y[owner]
         for k in range(len(LANGUAGES)):
             counts[:, k] = np.bincount(b[(of == k) & use[owner]], minlength=BUCKETS)
-        counts += 0.05
+        counts += SMOOTHING
         model = np.log(counts / counts.sum(axis=0)).astype(np.float32)
         scores = np.stack([np.bincount(owner, model[b, k], minlength=len(texts)) for k in range(len(LANGUAGES))], axis=1)
         use = scores.argmax(axis=1) == y

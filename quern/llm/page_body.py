@@ -24,6 +24,8 @@ from quern.llm.scratch import materialize
 #: A line is part of a site's frame if it is on this share of its pages, and on this many.
 FRAME_SHARE = 0.10
 FRAME_PAGES = 5
+#: Share of the sites, and number of them, whose frame a line is in, from which it is furniture on any site.
+COMMON_FRAME_SHARE, COMMON_FRAME_SITES = 0.02, 2
 #: Characters per tag from which a line without closing punctuation still reads as text.
 PARAGRAPH_CHARS = 80
 
@@ -117,23 +119,26 @@ def body_lines(text: str, title: str | None, frame: set[int] | None = None, keys
     lo, hi = regions[0]
     if not sums[0]:
         return []
-    # sections of links: a frame heading, then headings and teasers up to the next paragraph
+    # sections of links: runs of headings, teasers and links that are more than a paragraph's own heading
+    answers = any(kind[i] == "heading" and _QUESTION.search(raw[i].strip()) and after(i) == "text" for i in range(lo, hi))
     listed = [False] * n
     i = lo
     while i < hi:
-        if kind[i] == "link":
-            j = i + 1
-            while j < hi and kind[j] in ("heading", "teaser", "blank", "link"):
-                j += 1
-            block = range(i + 1, j)
-            titles = sum(kind[k] == "heading" for k in block)
-            teased = any(kind[k] == "teaser" for k in block)
-            if titles > 1 or teased:
-                for k in block:
-                    listed[k] = True
-            i = j
-        else:
-            i += 1
+        j = i
+        while j < hi and kind[j] in ("heading", "teaser", "blank", "link"):
+            j += 1
+        titles = [k for k in range(i, j) if kind[k] == "heading"]
+        parted = len(titles) > 1 and any(kind[k] == "link" for k in range(titles[0], titles[-1]))
+        opened = bool(titles) and any(kind[k] == "link" for k in range(i, titles[0])) and len(titles) > 1
+        if any(kind[k] == "teaser" for k in range(i, j)) or len(titles) > 2 or parted or opened:
+            last = titles[-1] if titles else -1
+            asks = answers and j < hi and last >= 0 and bool(_QUESTION.search(raw[last].strip()))
+            first = titles[0] if titles else -1
+            # a heading that stands before the list's own heading belongs to the paragraph after the list
+            own = first if first == i and i > lo and kind[i - 1] in ("text", "item") and first + 1 < j and kind[first + 1] == "link" and after(first + 1) == "heading" else -1
+            for k in range(i, j):
+                listed[k] = k != own and not (asks and k == last)
+        i = max(j, i + 1)
     first_text = next((i for i in range(lo, hi) if lines[i].density > 0), hi)
     known = any(k == "headline" for k in kind) or bool(_headlines(title, crumbs))
     keep = []
@@ -143,7 +148,8 @@ def body_lines(text: str, title: str | None, frame: set[int] | None = None, keys
             keep.append(i + 1)
         elif x.kind == "heading" and not listed[i]:
             # what stands between a heading and its paragraph may be furniture once the article has begun
-            between = ("blank", "link") if i > first_text else ("blank",)
+            begun = i > first_text or any(kind[k] in ("headline", "byline", "date") for k in range(lo, i))
+            between = ("blank", "link") if begun else ("blank",)
             j = i + 1
             while j < hi and (kind[j] in between or listed[j]):
                 j += 1
@@ -152,12 +158,18 @@ def body_lines(text: str, title: str | None, frame: set[int] | None = None, keys
     return keep
 
 
-def _site_frames(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _site_frames(pages: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """(site, frame) of all sites, and the lines that are in the frames of many."""
     hashes = materialize(
         site_lines.line_hashes(pages.select(F.col("page_id").alias("doc_id"), "url", F.lit("").alias("source"), "text")), "page-lines"
     )
     frames = site_lines.repeated(hashes, FRAME_PAGES, FRAME_SHARE).groupBy("site").agg(F.collect_set("key").alias("frame"))
-    return hashes, materialize(frames, "frames")
+    frames = materialize(frames, "frames")
+    sites = frames.count()
+    per_key = frames.select(F.explode("frame").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    # at most the frame lines of 1 / COMMON_FRAME_SHARE average sites
+    common = per_key.where(F.col("n") >= max(COMMON_FRAME_SITES, COMMON_FRAME_SHARE * sites))
+    return frames, frozenset(r.key for r in common.select("key").collect())
 
 
 def page_bodies(pages: DataFrame) -> DataFrame:
@@ -167,7 +179,7 @@ def page_bodies(pages: DataFrame) -> DataFrame:
     once; null and empty texts have no body. A site's frame is bounded by FRAME_SHARE (at most ten
     times an average page's lines) and joined to its pages by broadcast when few enough.
     """
-    _, frames = _site_frames(pages)
+    frames, common = _site_frames(pages)
     lines = F.transform(F.split("text", "\n", -1), site_lines.line_key)
     rows = pages.where("text is not null and page_id is not null").select(
         "page_id", "title", "text", F.coalesce(site_lines.site_of(F.col("url"), F.lit("")), F.lit("")).alias("site"), lines.alias("keys")
@@ -178,7 +190,7 @@ def page_bodies(pages: DataFrame) -> DataFrame:
         for batch in batches:
             ids, nos = [], []
             for page, title, text, keys, frame in zip(*(c.to_pylist() for c in batch.columns)):
-                for no in body_lines(text, title, set(frame or ()), keys):
+                for no in body_lines(text, title, common.union(frame or ()), keys):
                     ids.append(page)
                     nos.append(no)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32())], names=["page_id", "line_no"])

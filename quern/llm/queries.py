@@ -116,5 +116,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
+_LINES = r"""
+  WITH s AS (SELECT doc_id, text, coalesce(nullif(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*://|//)?(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', ''), ''), source) AS site FROM documents),
+  n AS (SELECT site, count(*) AS docs FROM s WHERE site IS NOT NULL GROUP BY site), l AS (SELECT doc_id, site, string_split(text, chr(10)) AS ls FROM s WHERE site IS NOT NULL AND text IS NOT NULL),
+  k AS (SELECT doc_id, site, i AS line_no, regexp_replace(lower(ls[i]), '[^\p{L}]+', '', 'g') AS key FROM l, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
+  good AS (SELECT site, key FROM k JOIN n USING (site) WHERE key <> '' GROUP BY site, key, docs HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) / docs >= 0.04)"""
+
+_SPEAKER = """CASE WHEN lower(regexp_replace(role, '[\\s\\x{00a0}]+', '', 'g')) IN ('user', 'human') THEN 'user' WHEN lower(regexp_replace(role, '[\\s\\x{00a0}]+', '', 'g')) IN ('assistant', 'ai', 'bot', 'model') THEN 'assistant'
+    WHEN lower(regexp_replace(role, '[\\s\\x{00a0}]+', '', 'g')) IN ('system', 'tool', 'function', 'developer') THEN 'note' END"""
+
+_SOUND = f"""
+  WITH r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at NULLS LAST) AS n FROM chat_messages WHERE conversation_id IS NOT NULL),
+  d AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, sort_order, role, content ORDER BY created_at NULLS LAST, id) AS m FROM r WHERE n = 1),
+  c AS (SELECT *, {_SPEAKER} AS speaker FROM d WHERE m = 1),
+  whole AS (SELECT conversation_id FROM c GROUP BY conversation_id HAVING count(*) = count(DISTINCT sort_order) AND count(*) = count(speaker) AND min(sort_order) = 1 AND max(sort_order) = count(*)),
+  t AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sort_order) AS turn_no FROM c WHERE speaker <> 'note' AND conversation_id IN (SELECT conversation_id FROM whole) AND conversation_id IN (SELECT id FROM chat_conversations)),
+  good AS (SELECT conversation_id FROM t GROUP BY conversation_id HAVING count(*) % 2 = 0
+    AND bool_and((turn_no % 2 = 1) = (speaker = 'user') AND coalesce(regexp_replace(content, '[\\s\\x0b\\p{{Z}}\\p{{Cc}}\\p{{Cf}}\\x{{115f}}\\x{{1160}}\\x{{3164}}\\x{{2800}}]+', '', 'g'), '') <> ''))
+  SELECT conversation_id, turn_no::INT AS turn_no, speaker, id AS message_id FROM t WHERE conversation_id IN (SELECT conversation_id FROM good)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries whose result SQL defines; the others are tested against brute force."""
+    return {
+        "p1_found": f"{_LINES} SELECT doc_id, line_no::INT AS line_no FROM k WHERE (site, key) IN (SELECT site, key FROM good)",
+        "p1_cleaned": f"""{_LINES}, bad AS (SELECT doc_id, list(line_no) AS nos FROM k WHERE (site, key) IN (SELECT site, key FROM good) GROUP BY doc_id)
+  SELECT s.doc_id, CASE WHEN nos IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda v, i: NOT list_contains(nos, i)), chr(10)) END AS text, coalesce(len(nos), 0)::INT AS n_removed FROM s LEFT JOIN bad USING (doc_id)""",
+        "p6_found": _SOUND,
+    }
