@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import dialogues, language, mixing, near_duplicates, packing, page_body, scans, shared_spans, site_lines, skeleton
+from quern.sources.tables import TEXT_KEYS, read_table, text_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return (text_table if name in TEXT_KEYS else read_table)(spark, sf_dir, name)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

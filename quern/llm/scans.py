@@ -182,6 +182,12 @@ def page_neighbours(pages: DataFrame, column: str, backwards: bool = False) -> D
     return near.join(far, ["pdf", "block"]).select("pdf", "page", F.coalesce("near", "far")["v"].alias("near"))
 
 
+def _ends_cut(line: Column) -> Column:
+    """Whether a line ends in a cut; the pattern is tried only where the last character is a hyphen."""
+    last = F.substring(F.rtrim(line), -1, 1)
+    return F.when(last.isin(*HYPHENS), line.rlike(_ENDING)).otherwise(F.when(line.isNotNull(), F.lit(False)))
+
+
 def split_cuts(body: DataFrame) -> DataFrame:
     """Lines of ``body_pages`` with the pieces of cut words apart: left and right piece, hyphen, and inner, the line without either.
 
@@ -195,8 +201,8 @@ def split_cuts(body: DataFrame) -> DataFrame:
         F.coalesce(F.get(F.col("body"), F.col("i") + 1), F.col("after")).alias("nxt"),
         F.coalesce(F.when(F.col("i") > 0, F.get(F.col("body"), F.col("i") - 1)), F.col("before"))["line"].alias("previous"),
     )
-    text = text.withColumn("is_cut", F.col("line").rlike(_ENDING) & F.coalesce(F.col("nxt.line").rlike(_BEGINNING), F.lit(False)))
-    text = text.withColumn("continues", F.coalesce(F.col("previous").rlike(_ENDING), F.lit(False)) & F.col("line").rlike(_BEGINNING))
+    text = text.withColumn("is_cut", _ends_cut(F.col("line")) & F.coalesce(F.col("nxt.line").rlike(_BEGINNING), F.lit(False)))
+    text = text.withColumn("continues", F.coalesce(_ends_cut(F.col("previous")), F.lit(False)) & F.col("line").rlike(_BEGINNING))
     inner = F.when(F.col("is_cut"), F.regexp_replace("line", _ENDING, " ")).otherwise(F.col("line"))
     inner = F.when(F.col("continues"), F.regexp_replace(inner, _BEGINNING, " ")).otherwise(inner)
     return text.select(
