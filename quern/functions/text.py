@@ -9,7 +9,7 @@ so that the same patterns mean the same in other SQL engines.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,6 +35,14 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``c``, with ``c`` evaluated once a row.
+
+    An expression used inside a lambda (or pushed into a filter) would else run once per use.
+    """
+    return F.get(F.transform(F.array(c), body), 0)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 

@@ -78,14 +78,18 @@ def lexical_phrases(question: Column, removable: Iterable[str], prefix: str, nam
 
 def lexical_score(haystack: Column, terms: Sequence[str], phrases: Sequence[str]) -> Column:
     """10 a term and 120 a phrase contained, 25 for the first two terms, 40 for them side by side; null if nothing is."""
-    hits = sum((haystack.contains(t).cast("int") for t in terms), F.lit(0))
-    full = sum((haystack.contains(p).cast("int") for p in phrases), F.lit(0))
-    score = hits * 10 + full * 120
-    if len(terms) >= 2:
-        score = score + F.when(haystack.contains(terms[0]) & haystack.contains(terms[1]), 25).otherwise(0)
-    if terms:
-        score = score + F.when(haystack.contains(" ".join(terms[:2])), 40).otherwise(0)
-    return F.when((hits > 0) | (full > 0), score)
+
+    def score(h: Column) -> Column:
+        hits = sum((h.contains(t).cast("int") for t in terms), F.lit(0))
+        full = sum((h.contains(p).cast("int") for p in phrases), F.lit(0))
+        total = hits * 10 + full * 120
+        if len(terms) >= 2:
+            total = total + F.when(h.contains(terms[0]) & h.contains(terms[1]), 25).otherwise(0)
+        if terms:
+            total = total + F.when(h.contains(" ".join(terms[:2])), 40).otherwise(0)
+        return F.when((hits > 0) | (full > 0), total)
+
+    return T.let(haystack, score)
 
 
 def lexical_search(rows: DataFrame, haystack: Column, terms: Sequence[str], phrases: Sequence[str], key: Sequence[Column | str], order: Sequence[str], k: int) -> DataFrame:
@@ -106,10 +110,17 @@ def hybrid(lexical: DataFrame, vector: DataFrame, key: Sequence[str], k: int) ->
 
 def relevant(text: Column, phrases: Column, keywords: Column, required: Column | None = None) -> Column:
     """Whether a chunk's ASCII key bears on a question: any phrase, or enough keywords (two; one if there is one; none needed if there are none)."""
-    any_phrase = F.exists(phrases, lambda p: (p != "") & text.contains(p))
-    hits = F.size(F.filter(keywords, lambda w: text.contains(w)))
     need = F.when(F.size(keywords) == 0, 0).when(F.size(keywords) == 1, 1).otherwise(2) if required is None else required
-    return F.coalesce((text != "") & (any_phrase | (hits >= need)), F.lit(False))
+
+    def bears(t: Column) -> Column:
+        any_phrase = F.exists(phrases, lambda p: (p != "") & t.contains(p))
+        return (t != "") & (any_phrase | (keyword_hits(t, keywords) >= need))
+
+    return F.coalesce(T.let(text, bears), F.lit(False))
+
+
+def keyword_hits(text: Column, keywords: Column) -> Column:
+    return F.size(F.filter(keywords, lambda w: text.contains(w)))
 
 
 def relevance_split(candidates: DataFrame, flag: Column) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from quern.operators import entities, match
 from quern.operators.ranking import ordered_union, page
 from quern.plans import registry as R
 from quern.plans.registry import query, table
+from quern.sources.tables import text_table
 
 TITLES = ["st", "saint", "saints"]
 RULES = entities.NameRules(banned_tokens=("church", "letter", "book"), excluded_terms=("contents", "index"))
@@ -34,7 +35,7 @@ _SECTIONS = f"""{_LINES}, marked AS (SELECT *, {_HEAD} AS head FROM lines),
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pdf_pages").select("pdf", "page", "text").distinct()
+    return text_table(spark, d, "pdf_pages").select("pdf", "page", "text").distinct()
 
 
 @query(f"WITH {_LINES} SELECT pdf, page, line_pos, line FROM lines WHERE {_HEAD}")

@@ -11,6 +11,7 @@ from quern.operators.ranking import first_wins
 from quern.plans import registry as R
 from quern.plans.registry import query, table
 from quern.sources import collections, files
+from quern.sources.tables import text_table
 
 TITLES = ["st", "saint", "saints", "mr", "dr"]
 
@@ -27,7 +28,7 @@ def _chunk_sql(source: str, key: str, size: int, overlap: int) -> str:
 
 @query(_chunk_sql("SELECT doc_id, text FROM documents", "doc_id", 3500, 400))
 def chunk_fixed_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.chunks(table(spark, d, "documents").select("doc_id", "text"))
+    return ingest.chunks(text_table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query(f"""

@@ -10,6 +10,7 @@ from quern.operators import ingest, retrieve
 from quern.operators.ranking import positioned, top_per_group
 from quern.plans import registry as R
 from quern.plans.registry import query, table
+from quern.sources.tables import text_table
 
 _Q = (0, 7, 42)
 _DIST = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
@@ -82,7 +83,7 @@ _LEX = f"""{_CHUNKS}, h AS (SELECT *, lower(concat_ws(' ', text, title, pdf)) AS
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").dropDuplicates(["id"])
+    return text_table(spark, d, "chunks").dropDuplicates(["id"])
 
 
 def _haystack() -> Column:
@@ -151,9 +152,9 @@ def relevance_filter(spark: SparkSession, d: str) -> DataFrame:
 def relevant_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: documents to chunks to the ones that answer a question best."""
     words = F.array(*[F.lit(w) for w in ("desert", "well", "silence")])
-    chunks = ingest.chunks(table(spark, d, "documents").select("doc_id", "title", "text"))
+    chunks = ingest.chunks(text_table(spark, d, "documents").select("doc_id", "title", "text"))
     text = T.ascii_key(F.concat_ws(" ", "text", "title"))
-    hits = F.size(F.filter(words, lambda w: text.contains(w)))
+    hits = T.let(text, lambda t: retrieve.keyword_hits(t, words))
     found = chunks.where(retrieve.relevant(text, F.array().cast("array<string>"), words))
     return found.select("doc_id", "chunk_index", F.substring("text", 1, 240).alias("preview"), hits.alias("hits")).orderBy(F.desc("hits"), "doc_id", "chunk_index").limit(16)
 

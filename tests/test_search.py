@@ -10,12 +10,12 @@ from quern.sources.collections import Collection
 
 
 def test_tiers_are_monotone_and_cut(spark):
-    records = spark.createDataFrame([("1", "Pope Alba"), ("2", "Alba of Ember"), ("3", "New Albany"), ("4", "Ember Alba Low")], "id string, name string")
-    keys = match.name_keys(records, F.array("name", F.when(F.col("id") == "4", F.lit("alba")).otherwise(F.col("name"))), lambda c: T.latin_key(c), ["pope"])
-    q = spark.createDataFrame([("alba", "alba"), ("pope alba", "pope alba"), ("alba ember", "alba ember")], "query string, query_key string")
+    records = spark.createDataFrame([("1", "Dom Alba"), ("2", "Alba of Ember"), ("3", "New Albany"), ("4", "Ember Alba Low")], "id string, name string")
+    keys = match.name_keys(records, F.array("name", F.when(F.col("id") == "4", F.lit("alba")).otherwise(F.col("name"))), lambda c: T.latin_key(c), ["dom"])
+    q = spark.createDataFrame([("alba", "alba"), ("dom alba", "dom alba"), ("alba ember", "alba ember")], "query string, query_key string")
     scored = {(r.query, r.id): r.score for r in match.tiered(keys, q).collect()}
-    assert scored == {("alba", "1"): 2, ("alba", "2"): 2, ("alba", "3"): 3, ("alba", "4"): 1, ("pope alba", "1"): 0, ("alba ember", "2"): 4, ("alba ember", "4"): 4}
-    assert {(r.query, r.id) for r in match.search(keys, q).collect()} == {("alba", "4"), ("pope alba", "1"), ("alba ember", "2"), ("alba ember", "4")}
+    assert scored == {("alba", "1"): 2, ("alba", "2"): 2, ("alba", "3"): 3, ("alba", "4"): 1, ("dom alba", "1"): 0, ("alba ember", "2"): 4, ("alba ember", "4"): 4}
+    assert {(r.query, r.id) for r in match.search(keys, q).collect()} == {("alba", "4"), ("dom alba", "1"), ("alba ember", "2"), ("alba ember", "4")}
 
 
 def test_pages_make_the_whole_list(spark):

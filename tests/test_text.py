@@ -40,8 +40,8 @@ def test_nfkc(spark):
 
 
 def test_latin_key(spark):
-    key = lambda c: T.latin_key(c, [("Kirill", "Cyril")], [("marys", "mary")], ["st", "saint"])
-    assert one(spark, key, " St. Kirill's the/Great_One ") == "cyrils great one"
+    key = lambda c: T.latin_key(c, [("Karol", "Carl")], [("marys", "mary")], ["st", "saint"])
+    assert one(spark, key, " St. Karol's the/Great_One ") == "carls great one"
     assert one(spark, key, "Marys") == "mary"
     assert one(spark, key, "the") == ""
 
@@ -52,9 +52,9 @@ def test_arabic_keys(spark):
 
 
 def test_rotations(spark):
-    f = lambda c: T.rotations(c, ["pope", "abba"])
-    assert one(spark, f, "pope john abba") == ["pope john abba", "john abba pope", "abba pope john"]
-    assert one(spark, f, "pope") == ["pope"]
+    f = lambda c: T.rotations(c, ["dom", "fra"])
+    assert one(spark, f, "dom john fra") == ["dom john fra", "john fra dom", "fra dom john"]
+    assert one(spark, f, "dom") == ["dom"]
     assert one(spark, f, "") == []
 
 
