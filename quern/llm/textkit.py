@@ -19,7 +19,7 @@ _Q = np.uint64(0xD1342543DE82EF95)
 _QINV = np.uint64(pow(int(_Q), -1, 1 << 64))
 
 #: Code points handled at a time; bounds a worker's memory whatever the batch.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
 
 
 def slices(lengths: np.ndarray, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
