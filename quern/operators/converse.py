@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.ranking import first_wins
+from quern.operators.ranking import first_wins, numbered
 
 SOURCES = "array<struct<source_type: string, pdf: string, page: int, url: string, title: string>>"
 
@@ -189,7 +189,7 @@ def move_to_front(rows: DataFrame, changed: DataFrame, key: str, order: str) ->
     """The changed rows first, then the others in their order; each key once, with position."""
     both = changed.withColumn("_first", F.lit(0)).unionByName(rows.withColumn("_first", F.lit(1)))
     once = first_wins(both, [key], ["_first", order])
-    return once.withColumn("position", F.row_number().over(Window.orderBy("_first", order)) - 1).drop("_first")
+    return numbered(once, ["_first", order]).drop("_first")
 
 
 def merge_names(parts: Sequence[Column]) -> Column:

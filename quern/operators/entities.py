@@ -15,6 +15,8 @@ from quern.operators.ranking import first_wins, ordered_union
 PARTICLES = ("and", "of", "the", "in", "on", "de", "al", "el")
 NUMERALS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
 UPPER_SHARE = 0.72
+# Words that no name holds.
+NO_NAME_WORDS = ("was", "is", "and", "or", "in", "on", "to", "for", "with", "from")
 
 
 @dataclass(frozen=True)
@@ -25,7 +27,7 @@ class NameRules:
     markers: tuple[str, ...] = ("ST", "ST.", "SS", "SS.", "FR", "FR.")
     excluded_terms: tuple[str, ...] = ()
     banned_tokens: tuple[str, ...] = ()
-    bad_tokens: tuple[str, ...] = ("was", "is", "and", "or", "in", "on", "to", "for", "with", "from")
+    bad_tokens: tuple[str, ...] = NO_NAME_WORDS
     special: Mapping[str, str] = field(default_factory=dict)
     spellings: tuple[tuple[str, str], ...] = ()
     rewrites: tuple[tuple[str, str], ...] = ()
@@ -87,7 +89,7 @@ def sections(rows: DataFrame, key: Sequence[str], text_col: str = "text", exclud
     return out.where(F.size(T.words(F.col("body"))) >= least_words).select(*key, "line_pos", "heading", "body")
 
 
-def suggestion_name(c: Column, prefix: str = "St.", bad_tokens: Iterable[str] = NameRules.bad_tokens) -> Column:
+def suggestion_name(c: Column, prefix: str = "St.", bad_tokens: Iterable[str] = NO_NAME_WORDS) -> Column:
     """A mention as a name of several capitalised words, with the prefix; empty if it is none."""
     name = F.regexp_replace(T.collapse(c), r"(?i)^(?:st\.?|saint)\s+", "")
     parts = T.words(name)

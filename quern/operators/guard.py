@@ -82,7 +82,8 @@ def rate_limit(events: DataFrame, key: str, at: str, order: Iterable[str] = (),
     """``events`` with accepted: at most ``most`` of a key within ``seconds`` of the first accepted one.
 
     Events go by ``at`` then ``order``; the window is neither aligned to the clock nor to gaps, so each
-    key is followed in time. Rows stream through in sorted partitions, a key's state is two numbers and
+    key is followed in time (sequential by its definition: what is accepted decides when the next window
+    opens). Rows stream through in sorted partitions, a key's state is two numbers and
     no key is held in memory. A null key is a key; a null time comes first and opens a window at 0.
     """
     others = [c for c in events.columns if c not in ("accepted", "_exempt", "_us")]

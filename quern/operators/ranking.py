@@ -33,9 +33,9 @@ def ordered_union(parts: Sequence[DataFrame], key: Sequence[str], order: Sequenc
     for t in tagged[1:]:
         both = both.unionByName(t, allowMissingColumns=True)
     once = first_wins(both, key, ["_part", *order])
-    if limit is not None:
-        once = once.orderBy("_part", *order).limit(limit)
-    return positioned(once, ["_part", *order]).drop("_part")
+    if limit is None:
+        return numbered(once, ["_part", *order]).drop("_part")
+    return positioned(once.orderBy("_part", *order).limit(limit), ["_part", *order]).drop("_part")
 
 
 def positioned(rows: DataFrame, order: Sequence[Column | str], name: str = "position") -> DataFrame:
@@ -43,6 +43,26 @@ def positioned(rows: DataFrame, order: Sequence[Column | str], name: str = "posi
     return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
 
 
+#: Ranges into which rows are cut to be numbered.
+RANGES = 256
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+    """Rows of any number, numbered 0.. by the ``order`` columns, which tell them apart.
+
+    A bounded sample of the keys cuts the order into ranges; each range is ranked by itself and
+    begins where the counts of the ranges before it end.
+    """
+    key = F.struct(*[F.col(o) for o in order])
+    bounds = rows.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(RANGES - 1).agg(F.collect_set("k").alias("_bounds"))
+    cut = rows.join(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < key))).drop("_bounds")
+    ranked = cut.withColumn("_within", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    return ranked.join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + F.col("_within") - 1).cast("int")).drop("_range", "_within", "_start")
+
+
 def page(rows: DataFrame, order: Sequence[Column | str], limit: int, offset: int = 0, most: int = 400) -> DataFrame:
     """Rows ``offset`` .. ``offset + limit`` in order; the limit is kept within 1 and ``most``."""
     return rows.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quern.functions import text as T
 from quern.functions.vectors import squared_l2
@@ -22,17 +26,45 @@ def distinct_queries(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
     return first_wins(clean, [F.lower("query")], ["ordinal", "query"]).orderBy("ordinal", "query").limit(most)
 
 
+#: Queries that are sent to every task as one matrix; more of them are joined in blocks by the engine.
+MATRIX_QUERIES = 4096
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str = "embedding", where: Column | None = None) -> DataFrame:
     """(q_id, id_col, distance, rank): the k nearest rows of every query by squared Euclidean distance.
 
-    Exact: the queries (q_id, q_vector) of one request are sent to every task, distances are computed
-    where the vectors lie, and each task passes on k rows a query. Ties go to the smaller id. Rows
-    without a vector, or of another length, are never near.
+    Exact: the queries (q_id, q_vector) of one request go to every task as a matrix, distances are
+    computed where the vectors lie, and each batch passes on k rows a query. Ties go to the smaller
+    id. Rows without a vector, or of another length, are never near.
     """
-    rows = vectors if where is None else vectors.where(where)
-    pairs = rows.select(id_col, vector_col).join(F.broadcast(queries.select("q_id", "q_vector")))
-    scored = pairs.select("q_id", id_col, squared_l2(F.col(vector_col), F.col("q_vector")).alias("distance")).where("distance is not null")
-    return top_per_group(scored, ["q_id"], ["distance", id_col], k)
+    rows = (vectors if where is None else vectors.where(where)).select(id_col, vector_col)
+    asked = [r for r in queries.select("q_id", "q_vector").limit(MATRIX_QUERIES + 1).collect() if r.q_vector]
+    if len(asked) > MATRIX_QUERIES:
+        pairs = rows.join(queries.select("q_id", "q_vector"))
+        scored = pairs.select("q_id", id_col, squared_l2(F.col(vector_col), F.col("q_vector")).alias("distance")).where("distance is not null")
+        return top_per_group(scored, ["q_id"], ["distance", id_col], k)
+    schema = StructType([queries.schema["q_id"], rows.schema[id_col], StructField("distance", DoubleType())])
+    q_type = to_arrow_type(queries.schema["q_id"].dataType)
+    by_length: dict[int, list] = {}
+    for r in asked:
+        by_length.setdefault(len(r.q_vector), []).append(r)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            for n, qs in by_length.items():
+                fit = batch.filter(pa.array(sizes == n))
+                if not fit.num_rows:
+                    continue
+                x = fit.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+                for r in qs:
+                    d = ((x - np.asarray(r.q_vector, np.float64)) ** 2).sum(axis=1)
+                    near = np.arange(len(d)) if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                    near = near[~np.isnan(d[near])]
+                    found = fit.column(0).take(pa.array(near))
+                    yield pa.RecordBatch.from_arrays([pa.array([r.q_id] * len(near), q_type), found, pa.array(d[near])], names=["q_id", id_col, "distance"])
+
+    return top_per_group(rows.mapInArrow(run, schema), ["q_id"], ["distance", id_col], k)
 
 
 def fuse(hits: DataFrame, key: Sequence[Column | str], k: int, boost: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import converse, guard
+from quern.operators.ranking import numbered
 from quern.plans import registry as R
 from quern.plans.registry import query, table
 
@@ -167,9 +168,7 @@ def pending_steps(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH c AS (SELECT id, title, row_number() OVER (ORDER BY id) AS place FROM chat_conversations), x AS (SELECT id, 'changed' AS title, place, 0 AS f FROM c WHERE title = 'New Chat' UNION ALL SELECT id, title, place, 1 FROM c),
   k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY f, place) AS n FROM x) SELECT id, title, (row_number() OVER (ORDER BY f, place) - 1)::INT AS position FROM k WHERE n = 1""")
 def move_to_front(spark: SparkSession, d: str) -> DataFrame:
-    from quern.operators.ranking import positioned
-
-    rows = positioned(table(spark, d, "chat_conversations").select("id", "title"), ["id"], "place")
+    rows = numbered(table(spark, d, "chat_conversations").select("id", "title"), ["id"], "place")
     changed = rows.where("title = 'New Chat'").withColumn("title", F.lit("changed"))
     return converse.move_to_front(rows, changed, "id", "place").select("id", "title", "position")
 

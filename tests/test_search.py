@@ -25,6 +25,14 @@ def test_pages_make_the_whole_list(spark):
     assert pages == whole
 
 
+def test_numbers_of_many_rows(spark):
+    rows = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("a"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("n"), (F.col("id") % 11).cast("string"))).alias("b"))
+    got = ranking.numbered(rows, ["b", "a"]).collect()
+    want = sorted(((r.b or "", r.a) for r in got))
+    assert [(r.b or "", r.a) for r in sorted(got, key=lambda r: r.position)] == want and sorted(r.position for r in got) == list(range(3000))
+    assert ranking.numbered(rows.limit(0), ["b"]).count() == 0
+
+
 def test_first_wins_with_null_keys_and_clashing_names(spark):
     rows = spark.createDataFrame([(None, 2, "b"), (None, 1, "a"), ("k", 3, "c"), ("k", 3, "c")], "key string, o int, _r string")
     assert sorted(tuple(r) for r in ranking.first_wins(rows, ["key"], ["o"]).collect() if r.key) == [("k", 3, "c")]
@@ -49,10 +57,13 @@ def test_warnings_and_descriptors(spark):
     assert tuple(row) == (2, 9)
 
 
-def test_knn_ties_and_bad_vectors(spark):
+def test_knn_ties_and_bad_vectors(spark, monkeypatch):
     rows = spark.createDataFrame([(2, [0.0, 1.0]), (1, [0.0, 1.0]), (3, None), (4, [1.0])], "id int, embedding array<float>")
     q = spark.createDataFrame([("q", [0.0, 1.0])], "q_id string, q_vector array<float>")
     assert [(r.id, r.rank) for r in retrieve.knn(rows, q, 5, "id").orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    assert retrieve.knn(rows, q.limit(0), 5, "id").count() == 0 and retrieve.knn(rows.limit(0), q, 5, "id").count() == 0
+    monkeypatch.setattr(retrieve, "MATRIX_QUERIES", 0)
+    assert [(r.id, r.rank) for r in retrieve.knn(rows, q, 1, "id").collect()] == [(1, 1)]
 
 
 def test_retrieval_sizes(spark):
