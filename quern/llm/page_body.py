@@ -39,6 +39,8 @@ _DATE = re.compile(r"^\W*(\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|\d{1,2}\.? \w{3,12}\.?
 _LETTER = re.compile(r"[^\W\d_]")
 # Words that open a by-line in the languages of the pages.
 _BYLINE = re.compile(r"^(by|written by|published by|posted by|from the|par|publié par|écrit par|de la rédaction|von|por|publicado por|escrito por|بقلم|إعداد|كتبه|كتبها|نشره|نشرها)\s+\S", re.I)
+# How prompts begin in the languages of the pages.
+_PROMPT = re.compile(r"^(subscribe|sign up|abonnez-vous|inscrivez-vous|suscr[ií]b|abonnieren|اشترك|read more|lire la suite|leer más|weiterlesen|اقرأ المزيد)(?!\w)", re.I)
 _ROLE = re.compile(r"^[^\W\d_]+([ '-][^\W\d_]+)?\s*[,،]\s*[^\W\d_]+$")
 
 
@@ -66,7 +68,7 @@ class Line:
         n_words = len(t.split())
         if not _LETTER.search(t):
             self.kind = "blank" if not t else "date"
-        elif framed or _SEPARATED.search(t):
+        elif framed or _SEPARATED.search(t) or (_PROMPT.match(t) and n_words <= 12 and not _END.search(t)):
             self.kind, self.links, self.tags = "link", self.chars, 1 + len(_SEPARATED.findall(t))
         elif _DATE.match(t):
             self.kind = "date"
@@ -121,13 +123,20 @@ def body_lines(text: str, title: str | None, frame: set[int] | None = None, keys
         return []
     # sections of links: runs of headings, teasers and links that are more than a paragraph's own heading
     answers = any(kind[i] == "heading" and _QUESTION.search(raw[i].strip()) and after(i) == "text" for i in range(lo, hi))
-    listed = [False] * n
+    listed, verse = [False] * n, [False] * n
     i = lo
     while i < hi:
         j = i
         while j < hi and kind[j] in ("heading", "teaser", "blank", "link"):
             j += 1
         titles = [k for k in range(i, j) if kind[k] == "heading"]
+        if not any(kind[k] in ("teaser", "link") for k in range(i, titles[-1] if titles else i)) and i > lo and kind[i - 1] in ("text", "item", "headline", "byline", "date"):
+            # lines without punctuation and without any link among them, within the article: verses
+            if len(titles) > 2 or (len(titles) == 2 and kind[i - 1] in ("text", "item")):
+                for k in titles:
+                    verse[k] = True
+                i = max(j, i + 1)
+                continue
         parted = len(titles) > 1 and any(kind[k] == "link" for k in range(titles[0], titles[-1]))
         opened = bool(titles) and any(kind[k] == "link" for k in range(i, titles[0])) and len(titles) > 1
         if any(kind[k] == "teaser" for k in range(i, j)) or len(titles) > 2 or parted or opened:
@@ -144,7 +153,7 @@ def body_lines(text: str, title: str | None, frame: set[int] | None = None, keys
     keep = []
     for i in range(lo, hi):
         x = lines[i]
-        if x.density > 0:
+        if x.density > 0 or verse[i]:
             keep.append(i + 1)
         elif x.kind == "heading" and not listed[i]:
             # what stands between a heading and its paragraph may be furniture once the article has begun
