@@ -51,6 +51,7 @@ HYPHENS = "-­‐‑¬"
 CUT_ONLY = "­¬"
 _CUT = re.compile(rf"([^\W_][\w@!|'’]*)[{HYPHENS}]\s*$")
 _WORD = re.compile(r"[\w@!|$]+")
+_ROMAN_NUMBER = re.compile(r"^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 
@@ -65,12 +66,10 @@ def fuzzy(line: Column) -> Column:
     return F.regexp_replace(low, r"[^\p{L}]+", "")
 
 
-def _roman(text: str) -> int | None:
+def _roman(text: str) -> int:
     total, last = 0, 0
     for c in reversed(text):
-        v = _ROMAN.get(c)
-        if v is None:
-            return None
+        v = _ROMAN[c]
         total += v if v >= last else -v
         last = max(last, v)
     return total
@@ -88,9 +87,10 @@ def page_number(line: str) -> int | None:
     as_digits = t.translate(str.maketrans("oliszb", "011526"))
     if as_digits.isdigit() and any(c.isdigit() for c in t):
         return int(as_digits)
-    rom = _roman(t)
-    if rom is not None:
-        return rom
+    if set(t) <= set("lo"):  # a misread 1 or 10 rather than fifty
+        return int(as_digits) if len(t) <= 3 else None
+    if _ROMAN_NUMBER.match(t):
+        return _roman(t)
     return int(as_digits) if as_digits.isdigit() and len(t) <= 3 else None
 
 

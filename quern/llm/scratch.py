@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quern-")
+        own = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -24,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Later uses read the files, so neither the input nor any Python stage runs
+    The tables stay in that folder as checkpoints do: results that are not yet
+    computed read them. Later uses read the files, so neither the input nor any Python stage runs
     again, and a lost executor takes nothing with it.
     """
     spark = df.sparkSession

@@ -261,5 +261,5 @@ def test_scans(spark):
 
 
 def test_page_numbers():
-    cases = {"[ 1 ]": 1, "— lO —": 10, "Page 3": 3, "iv": 4, "٣": 3, "صفحة ١٢": 12, "   7": 7, "word": None, "": None, "In 1999": None}
+    cases = {"[ 1 ]": 1, "— lO —": 10, "Page 3": 3, "iv": 4, "٣": 3, "صفحة ١٢": 12, "   7": 7, "l": 1, "[ ll ]": 11, "xlii": 42, "mild": None, "word": None, "": None, "In 1999": None}
     assert {k: scans.page_number(k) for k in cases} == cases
