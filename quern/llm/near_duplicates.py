@@ -5,8 +5,10 @@ classes come from MinHash bands; a candidate falls into the tile of its two
 size bands, where parity bitmaps as wide as the band needs bound the overlap
 from above; what the bound leaves is decided by intersecting sorted arrays.
 
-Bands are drawn from sequences that are not common (in under one record of a
-hundred): phrases that every text of a corpus uses say nothing about copies.
+Bands are drawn from all sequences of a record, however common: in a large
+family of reworked copies the shared text is common itself. Phrases that every
+text of a corpus uses make unlike records meet too; bands of several rows, and
+two in common, keep those few.
 """
 
 from __future__ import annotations
@@ -22,22 +24,13 @@ from quern.llm import bloom
 from quern.llm.scratch import materialize
 from quern.llm.textkit import distinct_grams, mix, slices
 
-#: Share of the records from which a sequence counts as common. At most
-#: 2 / COMMON_SHARE x (mean sequences of a record) of them exist, at any size.
-COMMON_SHARE = 0.01
-#: Records a partition needs before it may call a sequence common.
-COMMON_LEAST = 200
-#: Sequences that are not common a record needs for bands of those alone.
-RARE_LEAST = 24
-
-
 #: Bands a pair must have in common. One is chance for texts that share a phrase or two.
 COMMON_BANDS = 2
 
 
 def banding(threshold: float) -> tuple[int, int]:
-    """(bands, rows): a pair at the threshold has under two bands in common with a chance of 0.1 % (0.5: p = 0.25 a band; 0.8: 0.41)."""
-    return (32, 2) if threshold < 0.7 else (20, 4)
+    """(bands, rows): a pair at the threshold has under two bands in common with a chance of 0.1 % (0.5: p = 0.0625 a band; 0.8: 0.41)."""
+    return (145, 4) if threshold < 0.7 else (20, 4)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -46,35 +39,6 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
         yield ids[a:z], texts[a:z]
 
 
-def common_grams(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of the common sequences, from per-partition counts of all records.
-
-    A partition reports sequences in half the share of its own records; a common one is in at
-    least that share somewhere. The result is bounded by COMMON_SHARE, not by the data.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, keys, counts = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for ids, texts in _texts(batch):
-                n += len(ids)
-                h, c = np.unique(distinct_grams(texts, k)[0], return_counts=True)
-                keys, back = np.unique(np.concatenate([keys, h]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, c]), minlength=len(keys)).astype(np.int64)
-                if len(keys) > 4_000_000:
-                    keys, counts = keys[counts > n * COMMON_SHARE / 4], counts[counts > n * COMMON_SHARE / 4]
-        keep = counts >= max(COMMON_LEAST * COMMON_SHARE, n * COMMON_SHARE / 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([[0], keys[keep].view(np.int64)]), pa.int64()), pa.array(np.concatenate([[n], counts[keep]]), pa.int64()), pa.array([True] + [False] * int(keep.sum()), pa.bool_())],
-            names=["h", "n", "total"],
-        )
-
-    found = materialize(docs.mapInArrow(count, "h long, n long, total boolean").groupBy("h", "total").agg(F.sum("n").alias("n")), "gram-counts")
-    total = found.where("total").select(F.col("n").alias("docs"))
-    rows = found.where("not total").crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(COMMON_LEAST * COMMON_SHARE * 5), F.col("docs") * COMMON_SHARE))
-    return np.sort(np.array([r.h for r in rows.select("h").collect()], np.int64).view(np.uint64))
-
-
 def _minima(h: np.ndarray, starts: np.ndarray, n: int, salt: int) -> np.ndarray:
     """n MinHash values of every group of ``h``; groups begin at ``starts``."""
     rng = np.random.default_rng(salt)
@@ -87,53 +51,46 @@ def _minima(h: np.ndarray, starts: np.ndarray, n: int, salt: int) -> np.ndarray:
     return out
 
 
-def _bands(h: np.ndarray, d: np.ndarray, n_docs: int, bands: int, rows: int, salt: int) -> list[np.ndarray | None]:
-    """Band keys of every text that has sequences in (h, d), else None."""
-    out: list[np.ndarray | None] = [None] * n_docs
+def _bands(h: np.ndarray, d: np.ndarray, n_docs: int, bands: int, rows: int) -> np.ndarray:
+    """Band keys of every text, (n_docs, bands); those of texts without sequences in (h, d) mean nothing."""
+    out = np.zeros((n_docs, bands), np.int32)
     if not len(h):
         return out
     starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-    sig = _minima(h, starts, bands * rows, salt).reshape(len(starts), bands, rows)
-    keys = np.full((len(starts), bands), salt, np.uint64) + np.arange(bands, dtype=np.uint64)
+    sig = _minima(h, starts, bands * rows, 1).reshape(len(starts), bands, rows)
+    keys = np.ones((len(starts), bands), np.uint64)
     for r in range(rows):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-    for i, doc in enumerate(d[starts]):
-        out[doc] = keys[i].view(np.int64)
+    out[d[starts]] = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return out
 
 
-def signatures(docs: DataFrame, k: int, threshold: float, common: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     """(id, class_key, size, keys, bits): one row per record with visible text; bits is its parity bitmap."""
     bands, rows = banding(threshold)
-    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        skip = shared.value
         for batch in batches:
             for ids, texts in _texts(batch):
                 n = len(ids)
                 h, d = distinct_grams(texts, k)
                 size = np.bincount(d, minlength=n)
                 ends = np.cumsum(size)
-                is_common = skip[np.minimum(np.searchsorted(skip, h), len(skip) - 1)] == h if len(skip) else np.zeros(len(h), bool)
-                rare = np.bincount(d[~is_common], minlength=n)
-                few = rare < RARE_LEAST
-                all_bands = _bands(h[few[d]], d[few[d]], n, bands, rows, 1)
-                rare_bands = _bands(h[~is_common], d[~is_common], n, bands, rows, 2)
+                band_keys = _bands(h, d, n, bands, rows)
                 keys, cls, bits = [], [], []
                 for i in range(n):
                     bits.append(parity_bitmap(h[ends[i] - size[i] : ends[i]]).tobytes())
-                    keys.append(np.concatenate([x for x in (rare_bands[i], all_bands[i]) if x is not None]) if size[i] else np.zeros(0, np.int64))
+                    keys.append(band_keys[i] if size[i] else np.zeros(0, np.int32))
                     own = h[ends[i] - size[i] : ends[i]].tobytes() if size[i] else b"\0" + texts[i].encode("utf-8", "surrogatepass")
                     cls.append(xxhash.xxh3_128_digest(own))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(cls, pa.binary()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    [pa.array(ids, pa.int64()), pa.array(cls, pa.binary()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int32())), pa.array(bits, pa.binary())],
                     names=["id", "class_key", "size", "keys", "bits"],
                 )
 
-    return docs.mapInArrow(run, "id long, class_key binary, size int, keys array<long>, bits binary")
+    return docs.mapInArrow(run, "id long, class_key binary, size int, keys array<int>, bits binary")
 
 
 def bitmap_bits(size: int) -> int:
@@ -228,13 +185,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> tupl
     one class only if their texts are equal. Null and blank texts take no part.
     """
     base = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]"))
-    common = common_grams(base, k)
-    sig = materialize(signatures(base, k, threshold, common), "signatures")
+    sig = materialize(signatures(base, k, threshold), "signatures")
     reps = sig.groupBy("class_key").agg(F.min(F.struct("id", "size", "keys")).alias("r")).select("class_key", "r.id", "r.size", "r.keys")
     members = sig.select(F.col("id").alias("doc_id"), "class_key", "size").join(reps.select("class_key", F.col("id").alias("class_id")), "class_key").select("doc_id", "class_id", "size")
-    entries = reps.select("id", F.explode("keys").alias("key"))
-    x, y = entries.toDF("a", "key"), entries.toDF("b", "key")
-    hits = x.join(y, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    entries = reps.select("id", "size", F.posexplode("keys").alias("band", "key"))
+    x, y = entries.toDF("a", "size_a", "band", "key"), entries.toDF("b", "size_b", "band", "key")
+    # sets of such different sizes cannot reach the threshold
+    alike = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9
+    hits = x.join(y, ["band", "key"]).where(F.expr("a < b") & alike).groupBy("a", "b").agg(F.count("*").alias("n"))
     near = materialize(hits.where(F.col("n") >= COMMON_BANDS).select("a", "b"), "candidates")
     maps = sig.select("id", "size", "bits")
     near = near.join(maps.toDF("a", "size_a", "bits_a"), "a").join(maps.toDF("b", "size_b", "bits_b"), "b")

@@ -56,6 +56,23 @@ def test_pairs_like_brute_force(spark):
     assert len(classes) == len([t for _, t in texts if t and t.strip()]) and classes[1002].n_copies == 2 and classes[1004].n_copies == 1
 
 
+def test_large_family_of_reworked_texts(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(vocab) for _ in range(170)]
+    texts = [" ".join(base)]
+    for _ in range(99):
+        w = list(base)
+        for at in rng.sample(range(170), 10):
+            w[at] = rng.choice(vocab)
+        texts.append(" ".join(w))
+    texts = list(enumerate(texts + [" ".join(rng.choice(vocab) for _ in range(170)) for _ in range(200)]))
+    want = similar(texts, 3, 0.5)
+    got = {tuple(sorted(r)) for r in near_duplicates.duplicate_pairs(spark.createDataFrame(texts, "doc_id long, text string"), 3, 0.5).collect()}
+    assert {(0, i) for i in range(1, 100)} <= want and len(want) > 1000
+    assert got <= want and len(got) >= 0.99 * len(want), (len(got), len(want))
+
+
 def test_hot_class_is_not_multiplied(spark):
     rows = [(i, "the very same text in a third of all rows") for i in range(3000)] + [(5000 + i, t) for i, t in enumerate(corpus(2, 60))]
     got = near_duplicates.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.5)
