@@ -159,6 +159,7 @@ def furniture(lines: DataFrame) -> DataFrame:
 WORD = r"[\p{L}\p{M}\p{N}_@!|$]+"
 _ENDING = rf"({WORD})[{HYPHENS}]\s*$"
 _BEGINNING = rf"^\s*({WORD})"
+_SENTENCE_END = r"[.!?؟…][\"'”’»)\]]*$"
 
 
 def body_pages(once: DataFrame, running: DataFrame) -> DataFrame:
@@ -335,11 +336,33 @@ def found(pages: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _page_tops(once: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(pdf, page, line_no, parted): first body lines, and whether a paragraph ended on the page before."""
+    tops = cuts.where("nxt.page != page").select("pdf", F.col("page").alias("from_page"), F.col("line_no").alias("from_no"), F.col("nxt.page").alias("page"), F.col("nxt.line_no").alias("line_no"), F.trim("line").rlike(_SENTENCE_END).alias("ended"))
+    above = once.select("pdf", "page", F.col("lines").alias("own"))
+    left = once.select("pdf", F.col("page").alias("from_page"), F.col("lines").alias("others"))
+    tops = tops.join(above, ["pdf", "page"]).join(left, ["pdf", "from_page"])
+    between = F.concat(F.slice("others", F.col("from_no") + 1, F.size("others") - F.col("from_no")), F.slice("own", F.lit(1), F.col("line_no") - 1))
+    return tops.select("pdf", "page", "line_no", (F.col("ended") & F.exists(between, lambda v: ~v.rlike(r"[^\s\p{Z}]"))).alias("parted"))
+
+
+def _begun_before(counts: DataFrame) -> DataFrame:
+    """(pdf, page, begun): the sum of n of all earlier pages of the book in (pdf, page, n), by blocks of pages."""
+    rows = counts.withColumn("block", F.floor(F.col("page") / PAGE_BLOCK))
+    earlier = Window.partitionBy("pdf", "block").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.select("pdf", "page", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("near"))
+    blocks = rows.groupBy("pdf", "block").agg(F.sum("n").alias("n"))
+    far = blocks.select("pdf", "block", F.coalesce(F.sum("n").over(Window.partitionBy("pdf").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("far"))
+    return near.join(far, ["pdf", "block"]).select("pdf", "page", (F.col("near") + F.col("far")).alias("begun"))
+
+
 def paragraphs(pages: DataFrame) -> DataFrame:
     """(pdf, page, line_no, text): every paragraph, repaired, at the place where it begins.
 
     A paragraph begins after a blank line or with an indented one; pages go on where the one before
-    ended; a word cut in two stands whole on the line where it begins.
+    ended, over any number of pages. Blank lines around heads and feet say little: between the last
+    line of a page and the first of the next they count only if that last line ends a sentence. A
+    word cut in two stands whole on the line where it begins.
     """
     once, _, cuts, joins, misread = repair(pages)
     keys = ["pdf", "page", "line_no"]
@@ -352,18 +375,16 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     fixed = F.when(F.col("whole").isNotNull(), F.concat(F.regexp_replace(fixed, _ENDING, ""), "whole")).otherwise(fixed)
     blanks = once.select("pdf", "page", F.posexplode("lines").alias("i", "line")).where(~F.col("line").rlike(r"[^\s\p{Z}]"))
     blank_before = blanks.select("pdf", "page", (F.col("i") + 2).alias("line_no"), F.lit(True).alias("gap"))
-    text = text.join(blank_before, keys, "left").select(*keys, F.trim(fixed).alias("part"), (F.col("gap").isNotNull() | F.col("line").rlike(r"^\s{2,}")).alias("begins"))
+    text = text.join(blank_before, keys, "left").join(_page_tops(once, cuts), keys, "left")
+    gap = F.coalesce("parted", F.col("gap").isNotNull())
+    text = text.select(*keys, F.trim(fixed).alias("part"), (gap | F.col("line").rlike(r"^\s{2,}")).alias("begins"))
     text = text.withColumn("n", F.sum(F.when(F.col("begins"), 1).otherwise(0)).over(Window.partitionBy("pdf", "page").orderBy("line_no")))
     pieces = text.groupBy("pdf", "page", "n").agg(F.min("line_no").alias("line_no"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "part"))), lambda p: p["part"]), " ").alias("text"))
-    # a piece without a beginning of its own goes on from the last piece of the page before
-    last = pieces.groupBy("pdf", "page").agg(F.struct(F.col("page").alias("page"), F.max("n").alias("last_n")).alias("end"))
-    before = page_neighbours(last, "end", True).withColumnRenamed("near", "b")
-    pieces = pieces.join(before, ["pdf", "page"])
-    onward = (F.col("n") == 0) & F.col("b").isNotNull()
-    home_page, home_n = F.when(onward, F.col("b.page")).otherwise(F.col("page")), F.when(onward, F.col("b.last_n")).otherwise(F.col("n"))
+    # a piece without a beginning of its own goes on from the last piece before it in the book
+    pieces = pieces.join(_begun_before(pieces.groupBy("pdf", "page").agg(F.max("n").alias("n"))), ["pdf", "page"])
     return (
-        pieces.withColumn("home_page", home_page).withColumn("home_n", home_n)
-        .groupBy("pdf", "home_page", "home_n")
+        pieces.withColumn("nth", F.col("begun") + F.col("n"))
+        .groupBy("pdf", "nth")
         .agg(F.min(F.struct("page", "line_no")).alias("at"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line_no", "text"))), lambda p: p["text"]), " ").alias("text"))
         .select("pdf", "at.page", "at.line_no", "text")
     )

@@ -260,6 +260,27 @@ def test_scans(spark):
     assert scans.found(df.limit(0)).count() == 0 and scans.paragraphs(df.limit(0)).count() == 0
 
 
+def test_paragraphs_over_page_ends(spark):
+    head = "THE BOOK OF RAIN"
+    bodies = {
+        1: "The first paragraph ends here.\n\nThe keeper of the bridge told",
+        2: "the children a story that went on over\nthe whole of this page and then over",
+        3: "the next one until it ended here.\n\nA third paragraph ends with its page.",
+        4: "The fourth begins on a page of its own and goes on to the",
+        300: "last page of the book.",
+    }
+    rows = [("a.pdf", page, f"{head}\n\n{body}") for page, body in bodies.items()] + [("b.pdf", 1, "Another book."), ("b.pdf", 2, "\nSecond\nparagraph.")]
+    got = {(r.pdf, r.page, r.line_no): r.text for r in scans.paragraphs(spark.createDataFrame(rows, "pdf string, page int, text string")).collect()}
+    assert got == {
+        ("a.pdf", 1, 3): "The first paragraph ends here.",
+        ("a.pdf", 1, 5): "The keeper of the bridge told the children a story that went on over the whole of this page and then over the next one until it ended here.",
+        ("a.pdf", 3, 5): "A third paragraph ends with its page.",
+        ("a.pdf", 4, 3): "The fourth begins on a page of its own and goes on to the last page of the book.",
+        ("b.pdf", 1, 1): "Another book.",
+        ("b.pdf", 2, 2): "Second paragraph.",
+    }
+
+
 def test_page_numbers():
     cases = {"[ 1 ]": 1, "— lO —": 10, "Page 3": 3, "iv": 4, "٣": 3, "صفحة ١٢": 12, "   7": 7, "l": 1, "[ ll ]": 11, "xlii": 42, "mild": None, "word": None, "": None, "In 1999": None}
     assert {k: scans.page_number(k) for k in cases} == cases
