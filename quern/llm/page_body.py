@@ -1,12 +1,13 @@
-"""Problem 2: the main body of a page, by composite text density.
-
-A page comes as one line per text block, so its tree is rebuilt: the page has
-regions (before, article, comments), a region has sections, a section has
-lines. A line's density is its characters per tag, where characters of links
-(menus, teasers, lines the site repeats on many pages) count against it. The
-densities of a node's children are summed, and the region with the largest sum
-is the body; within it, lines below the threshold set along the path go, except
-headings that introduce a paragraph.
+"""Problem 2: the main body of a page, by rules for its lines and sums over its sections.
+
+A page comes as one line per text block, without tags and links, so densities
+of a tree of tags cannot be computed. Line rules give each line its kind
+instead; lines the site repeats on many pages count as links. A page has a
+section before its first voice ("so-and-so says:") and one from each voice on.
+A section with a large share of the page's text in several paragraphs belongs
+to the article; the comments begin at the first voice after all of these that
+does not go on from a paragraph. Before them, paragraphs stay, and headings
+that introduce one.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ FRAME_SHARE = 0.10
 FRAME_PAGES = 5
 #: Share of the sites, and number of them, whose frame a line is in, from which it is furniture on any site.
 COMMON_FRAME_SHARE, COMMON_FRAME_SITES = 0.02, 2
-#: Characters per tag from which a line without closing punctuation still reads as text.
+#: Share of a page's text from which a voice's section of several paragraphs is the article's.
+ARTICLE_SHARE = 0.25
+#: Characters from which a line without closing punctuation still reads as text.
 PARAGRAPH_CHARS = 80
 
 _SEPARATED = re.compile(r"\s[|·»>/]\s|\s{3,}|^[«»‹›]|[«»‹›]$")
@@ -58,24 +61,24 @@ def _headlines(title: str | None, crumbs: list[str]) -> set[str]:
 
 
 class Line:
-    """A leaf of the page: its kind, its characters, those of links, and its tags."""
+    """A line of the page: its kind and its characters."""
 
-    __slots__ = ("kind", "chars", "links", "tags", "framed")
+    __slots__ = ("kind", "chars")
 
     def __init__(self, text: str, framed: bool, headlines: set[str]) -> None:
         t = text.strip()
-        self.chars, self.links, self.tags, self.framed = len(t), 0, 1, framed
+        self.chars = len(t)
         n_words = len(t.split())
         if not _LETTER.search(t):
             self.kind = "blank" if not t else "date"
         elif framed or _SEPARATED.search(t) or (_PROMPT.match(t) and n_words <= 12 and not _END.search(t)):
-            self.kind, self.links, self.tags = "link", self.chars, 1 + len(_SEPARATED.findall(t))
+            self.kind = "link"
         elif _DATE.match(t):
             self.kind = "date"
         elif _letters(t) in headlines:
             self.kind = "headline"
         elif _TEASER.search(t):
-            self.kind, self.links = "teaser", self.chars
+            self.kind = "teaser"
         elif t.endswith(":") and n_words <= 4:
             self.kind = "voice"
         elif _ITEM.match(t):
@@ -90,9 +93,26 @@ class Line:
             self.kind = "heading"
 
     @property
-    def density(self) -> float:
-        """Link-adjusted characters per tag."""
-        return max(0, self.chars - 2 * self.links) / self.tags if self.kind in ("text", "item") else 0.0
+    def density(self) -> int:
+        """Characters of text; other lines have none."""
+        return self.chars if self.kind in ("text", "item") else 0
+
+
+def _talk(lines: list[Line]) -> int:
+    """Place of the voice from which a page is talk about it; the number of lines if there is none."""
+    n = len(lines)
+    voices = [i for i in range(n - 1) if lines[i].kind == "voice" and lines[i + 1].kind == "text"]
+    total = sum(x.density for x in lines)
+    talk = n
+    for i, end in reversed([*zip(voices, [*voices[1:], n])]):
+        sums = [x.density for x in lines[i:end] if x.density]
+        if len(sums) > 1 and sum(sums) >= ARTICLE_SHARE * total:
+            break
+        before = next((x.kind for x in reversed(lines[:i]) if x.kind != "blank"), "")
+        # the voices after the first one follow the text of the voice before
+        if before not in ("text", "item"):
+            talk = i
+    return talk
 
 
 def body_lines(text: str, title: str | None, frame: set[int] | None = None, keys: list[int | None] | None = None) -> list[int]:
@@ -106,20 +126,17 @@ def body_lines(text: str, title: str | None, frame: set[int] | None = None, keys
     crumbs = [re.split(r"\s[>»›/]\s", t)[-1] for t in raw if re.search(r"\S\s[>›]\s\S", t)]
     lines = [Line(t, f, _headlines(title, crumbs)) for t, f in zip(raw, framed)]
     n = len(lines)
+    talk = _talk(lines)
+    for x in lines[:talk]:
+        if x.kind == "voice":
+            x.kind = "heading"
     kind = [x.kind for x in lines]
 
     def after(i: int) -> str:
         return kind[i + 1] if i + 1 < n else "end"
 
-    # regions: what comes after the first voice ("so-and-so says:") that a text follows is talk about the page
-    talk = next((i for i in range(n) if kind[i] == "voice" and after(i) == "text"), n)
-    regions = [(0, talk), (talk, n)]
-    sums = [sum(x.density for x in lines[a:b]) for a, b in regions]
-    best = 0 if sums[0] > 0 or talk == 0 else 1
-    if best == 1:
-        return []
-    lo, hi = regions[0]
-    if not sums[0]:
+    lo, hi = 0, talk
+    if not any(x.density for x in lines[lo:hi]):
         return []
     # sections of links: runs of headings, teasers and links that are more than a paragraph's own heading
     answers = any(kind[i] == "heading" and _QUESTION.search(raw[i].strip()) and after(i) == "text" for i in range(lo, hi))

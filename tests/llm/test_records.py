@@ -207,6 +207,19 @@ def test_page_body():
     assert page_body.body_lines("", None) == [] and page_body.body_lines("Page not found\nHome | About", "x") == []
 
 
+def test_voices_within_an_article():
+    first, more = "It rained for many days in the valley. Nobody went out.", "The river rose and the mill stood still for a week."
+    talk = ["2 comments", "Doris says:", "I liked this text about rain very much, more than any other I have read.", "Egon says:", "So did I."]
+    for page, want in (
+        (["Of Rain", first, "Note:", more, more, "On Floods", more, *talk], [2, 3, 4, 5, 6, 7]),
+        (["Of Rain", "Note:", first, more, more, *talk], [2, 3, 4, 5]),
+        (["Of Rain", first, *talk], [2]),
+        (["Of Rain", *talk], []),
+    ):
+        frame = {i for i, t in enumerate(page) if t == "2 comments"}
+        assert page_body.body_lines("\n".join(page), "Of Rain", frame, list(range(len(page)))) == want
+
+
 def test_page_bodies_of_tables(spark):
     rows = []
     for i in range(60):
