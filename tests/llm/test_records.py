@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import random
 
 import numpy as np
@@ -116,6 +117,16 @@ def test_reply_links_follow_mentions(spark):
     assert {r.turn_no: r.parent_no for r in turns.collect()} == {1: None, 2: 1, 3: 2, 4: 3}
 
 
+def test_unlikely_replies_are_roots(spark):
+    said = [("user", "Who was Kalinas of the mill?", 8), ("user", "Something about bread", 19), ("assistant", "Bread was baked there.", 19), ("user", "Thanks", 8)]
+    rows = [("c", i + 1, i + 1, who, f"m{i}", text, datetime.datetime(2020, 1, 1, hour)) for i, (who, text, hour) in enumerate(said)]
+    turns = spark.createDataFrame(rows, "conversation_id string, turn_no int, sort_order int, speaker string, id string, content string, created_at timestamp")
+    got = {r.turn_no: (r.parent_no, r.score is None) for r in dialogues.reply_links(turns).collect()}
+    assert got == {1: (None, True), 2: (None, True), 3: (2, False), 4: (3, False)}
+    most = sum(dialogues.WEIGHTS[w] for w in ("mention", "overlap", "other"))
+    assert dialogues.WEIGHTS["distance"] * (dialogues.CANDIDATES + 1) + most < dialogues.LEAST_SCORE
+
+
 def test_ranks_of_split_groups(spark, monkeypatch):
     monkeypatch.setattr(ranks, "BLOCK_ROWS", 10)
     rows = spark.range(200).select((F.col("id") % 3 == 0).cast("string").alias("g"), "id")
