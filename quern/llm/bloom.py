@@ -1,4 +1,4 @@
-"""A Bloom filter of fixed size over a column of keys, to thin a scan before its shuffle."""
+"""A Bloom filter over a column of keys, to thin a scan before its shuffle."""
 
 from __future__ import annotations
 
@@ -10,34 +10,38 @@ from pyspark.sql import DataFrame
 
 from quern.llm.textkit import mix
 
-#: Bits of the filter: 4 MB, whatever the number of keys. A fuller filter lets more rows through, never fewer.
-BITS = 1 << 25
+#: Bits for every key (about one row in forty passes wrongly), and the most bits of a filter: 64 MB, full from 50
+#: million keys. A fuller filter lets more rows through, never fewer.
+KEY_BITS, MOST_BITS = 10, 1 << 29
 
 
-def _places(keys: np.ndarray) -> list[np.ndarray]:
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mix(keys.astype(np.uint64))
-    return [((h >> np.uint64(s)) % np.uint64(BITS)).astype(np.int64) for s in (0, 19, 38)]
+    g = mix(h ^ np.uint64(0x9E3779B97F4A7C15))
+    return [((h + np.uint64(i) * g) % np.uint64(bits)).astype(np.int64) for i in range(3)]
 
 
 def build(keys: DataFrame) -> np.ndarray:
-    """Filter over the only column of ``keys`` (bigint): 8 partial filters are merged on the driver."""
+    """Filter over the only column of ``keys`` (bigint), as large as their number asks for; up to 8 partial filters are merged on the driver."""
+    n = keys.count()
+    bits = min(MOST_BITS, 1 << max(16, (KEY_BITS * n).bit_length()))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS // 8, np.uint8)
+        own = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            for at in _places(batch.column(0).drop_null().to_numpy(zero_copy_only=False)):
-                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+            for at in _places(batch.column(0).drop_null().to_numpy(zero_copy_only=False), bits):
+                np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(BITS // 8, np.uint8)
-    for row in keys.repartition(8).mapInArrow(partial, "bits binary").toLocalIterator():
+    out = np.zeros(bits // 8, np.uint8)
+    for row in keys.coalesce(8).mapInArrow(partial, "bits binary").toLocalIterator():
         out |= np.frombuffer(bytes(row.bits), np.uint8)
     return out
 
 
 def contains(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     hit = np.ones(len(keys), bool)
-    for at in _places(keys):
+    for at in _places(keys, 8 * len(bits)):
         hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
     return hit
 

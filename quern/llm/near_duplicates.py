@@ -1,36 +1,50 @@
 """Problem 4: records that share most of their word sequences.
 
-Records with the same set of k-word sequences form a class. Candidate pairs of
-classes come from MinHash bands; a candidate falls into the tile of its two
-size bands, where parity bitmaps as wide as the band needs bound the overlap
-from above; what the bound leaves is decided by intersecting sorted arrays.
+Records with the same set of k-word sequences form a class. MinHash bands say
+which classes may be compared; every band entry carries a small bitmap of the
+record (one bit of each of its MinHash values), so that a pair of unlike records
+that meets in a band ends in the join itself and is never written. What is left
+falls into tiles of two size bands, where parity bitmaps as wide as the band
+needs bound the overlap from above; the rest is decided by intersecting sorted
+arrays.
 
 Bands are drawn from all sequences of a record, however common: in a large
-family of reworked copies the shared text is common itself. Phrases that every
-text of a corpus uses make unlike records meet too; bands of several rows, and
-two in common, keep those few.
+family of reworked copies the shared text is common itself.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bloom
 from quern.llm.scratch import materialize
 from quern.llm.textkit import distinct_grams, mix, slices
 
-#: Bands a pair must have in common. One is chance for texts that share a phrase or two.
-COMMON_BANDS = 2
+#: Chance that a pair exactly at the threshold has no band in common; pairs above it have far less.
+MISSED = 0.001
+#: Bits of each of a record's two sketches (bits 0 and 1 of its MinHash values), in words of 64.
+SKETCH_BITS = 192
+#: Standard deviations below the expected number of equal bits at which a sketch still lets a pair through (0.1 %).
+SLACK = 3.1
 
 
 def banding(threshold: float) -> tuple[int, int]:
-    """(bands, rows): a pair at the threshold has under two bands in common with a chance of 0.1 % (0.5: p = 0.0625 a band; 0.8: 0.41)."""
-    return (145, 4) if threshold < 0.7 else (20, 4)
+    """(bands, rows) for any threshold: rows so that a band is shared with a chance of about 1/8, bands so that ``MISSED`` holds."""
+    if not 0 < threshold < 1:
+        raise ValueError("the threshold must lie between 0 and 1")
+    rows = min(5, max(1, round(math.log(1 / 8) / math.log(threshold))))
+    return math.ceil(math.log(MISSED) / math.log1p(-(threshold**rows))), rows
+
+
+def most_apart(threshold: float) -> int:
+    """Bits in which the sketches of a pair at the threshold differ at most; equal bits: (1 + similarity) / 2 of all."""
+    return math.floor(SKETCH_BITS * (1 - threshold) / 2 + SLACK * math.sqrt(SKETCH_BITS * (1 - threshold**2) / 4))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -39,35 +53,52 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
         yield ids[a:z], texts[a:z]
 
 
-def _minima(h: np.ndarray, starts: np.ndarray, n: int, salt: int) -> np.ndarray:
+def _minima(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """n MinHash values of every group of ``h``; groups begin at ``starts``."""
-    rng = np.random.default_rng(salt)
-    a = rng.integers(1 << 62, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(1 << 62, size=n, dtype=np.uint64)
-    out = np.zeros((len(starts), n), np.uint64)
+    rng = np.random.default_rng(1)
+    a = rng.integers(1 << 32, size=n, dtype=np.uint32) | np.uint32(1)
+    b = rng.integers(1 << 32, size=n, dtype=np.uint32)
+    h = (mix(h) >> np.uint64(32)).astype(np.uint32)
+    out, v, w = np.zeros((len(starts), n), np.uint32), np.empty_like(h), np.empty_like(h)
     for i in range(n):
-        v = h * a[i] + b[i]
-        out[:, i] = np.minimum.reduceat(v ^ (v >> np.uint64(29)), starts)
+        np.multiply(h, a[i], out=v)
+        v += b[i]
+        np.right_shift(v, np.uint32(15), out=w)
+        v ^= w
+        v *= np.uint32(0x2C1B3C6D)
+        np.right_shift(v, np.uint32(12), out=w)
+        v ^= w
+        out[:, i] = np.minimum.reduceat(v, starts)
     return out
 
 
-def _bands(h: np.ndarray, d: np.ndarray, n_docs: int, bands: int, rows: int) -> np.ndarray:
-    """Band keys of every text, (n_docs, bands); those of texts without sequences in (h, d) mean nothing."""
-    out = np.zeros((n_docs, bands), np.int32)
+def _sketched(h: np.ndarray, d: np.ndarray, n_docs: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (n_docs, bands) and both sketches (n_docs, 2 x words) of every text; those of texts without sequences mean nothing."""
+    words = SKETCH_BITS // 64
+    keys, sketch = np.zeros((n_docs, bands), np.int32), np.zeros((n_docs, 2 * words), np.int64)
     if not len(h):
-        return out
+        return keys, sketch
     starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-    sig = _minima(h, starts, bands * rows, 1).reshape(len(starts), bands, rows)
-    keys = np.ones((len(starts), bands), np.uint64)
+    sig = _minima(h, starts, max(SKETCH_BITS, bands * rows))
+    own = np.ones((len(starts), bands), np.uint64)
     for r in range(rows):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-    out[d[starts]] = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return out
+        own = mix(own * np.uint64(0x9E3779B97F4A7C15) + sig[:, r : bands * rows : rows])
+    keys[d[starts]] = (own >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    planes = [np.packbits((sig[:, :SKETCH_BITS] >> np.uint32(i) & np.uint32(1)).astype(np.uint8), axis=1) for i in (0, 1)]
+    sketch[d[starts]] = np.hstack(planes).view(np.int64)
+    return keys, sketch
+
+
+def _sketch(plane: int) -> list[str]:
+    """Columns of one of the two sketches."""
+    words = SKETCH_BITS // 64
+    return [f"s{plane * words + i}" for i in range(words)]
 
 
 def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(id, class_key, size, keys, bits): one row per record with visible text; bits is its parity bitmap."""
+    """(id, class_key, size, keys, bits, s0, s1, ..): one row per record with visible text; bits is its parity bitmap, s0.. its sketches."""
     bands, rows = banding(threshold)
+    sketch = _sketch(0) + _sketch(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -78,7 +109,7 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                 h, d = distinct_grams(texts, k)
                 size = np.bincount(d, minlength=n)
                 ends = np.cumsum(size)
-                band_keys = _bands(h, d, n, bands, rows)
+                band_keys, sketches = _sketched(h, d, n, bands, rows)
                 keys, cls, bits = [], [], []
                 for i in range(n):
                     bits.append(parity_bitmap(h[ends[i] - size[i] : ends[i]]).tobytes())
@@ -86,11 +117,14 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                     own = h[ends[i] - size[i] : ends[i]].tobytes() if size[i] else b"\0" + texts[i].encode("utf-8", "surrogatepass")
                     cls.append(xxhash.xxh3_128_digest(own))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(cls, pa.binary()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int32())), pa.array(bits, pa.binary())],
-                    names=["id", "class_key", "size", "keys", "bits"],
-                )
+                    [
+                        pa.array(ids, pa.int64()), pa.array(cls, pa.binary()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int32())), pa.array(bits, pa.binary()),
+                        *[pa.array(np.ascontiguousarray(c)) for c in sketches.T],
+                    ],
+                    names=["id", "class_key", "size", "keys", "bits", *sketch],
+                )
 
-    return docs.mapInArrow(run, "id long, class_key binary, size int, keys array<int>, bits binary")
+    return docs.mapInArrow(run, "id long, class_key binary, size int, keys array<int>, bits binary, " + ", ".join(f"{c} long" for c in sketch))
 
 
 def bitmap_bits(size: int) -> int:
@@ -175,6 +209,29 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _apart(x: list[Column], y: list[Column]) -> Column:
+    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y)), F.lit(0))
+
+
+def _alike(sig: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of records of ``sig`` that share a band and whose two sketches differ in few bits.
+
+    The first sketch travels with the band entries and is compared within the join; the second is
+    looked up for the few pairs that passed. A band key that many records have is split by AQE.
+    """
+    most, words = most_apart(threshold), SKETCH_BITS // 64
+    band = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    entries = sig.select("id", *_sketch(0), F.posexplode("keys").alias("band", "key")).select(band.alias("key"), "id", *_sketch(0))
+    x, y = entries.toDF("key", "a", *[f"x{i}" for i in range(words)]), entries.toDF("key", "b", *[f"y{i}" for i in range(words)])
+    near = _apart([F.col(f"x{i}") for i in range(words)], [F.col(f"y{i}") for i in range(words)]) <= most
+    pairs = materialize(x.join(y, "key").where(F.expr("a < b") & near).select("a", "b").distinct(), "candidates")
+    second = sig.select("id", "size", *_sketch(1))
+    u, v = second.toDF("a", "size_a", *[f"x{i}" for i in range(words)]), second.toDF("b", "size_b", *[f"y{i}" for i in range(words)])
+    # sets of such different sizes cannot reach the threshold
+    sizes = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9
+    return pairs.join(u, "a").join(v, "b").where(near & sizes).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Similar pairs of class representatives, and every record's class.
 
@@ -186,14 +243,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> tupl
     """
     base = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]"))
     sig = materialize(signatures(base, k, threshold), "signatures")
-    reps = sig.groupBy("class_key").agg(F.min(F.struct("id", "size", "keys")).alias("r")).select("class_key", "r.id", "r.size", "r.keys")
-    members = sig.select(F.col("id").alias("doc_id"), "class_key", "size").join(reps.select("class_key", F.col("id").alias("class_id")), "class_key").select("doc_id", "class_id", "size")
-    entries = reps.select("id", "size", F.posexplode("keys").alias("band", "key"))
-    x, y = entries.toDF("a", "size_a", "band", "key"), entries.toDF("b", "size_b", "band", "key")
-    # sets of such different sizes cannot reach the threshold
-    alike = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9
-    hits = x.join(y, ["band", "key"]).where(F.expr("a < b") & alike).groupBy("a", "b").agg(F.count("*").alias("n"))
-    near = materialize(hits.where(F.col("n") >= COMMON_BANDS).select("a", "b"), "candidates")
+    several = sig.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("class_key", "class_id")
+    copies = sig.select("id", "class_key").join(several, "class_key").where("id != class_id").select("id", "class_id")
+    copies = materialize(copies, "copies")
+    members = sig.select("id", "size").join(copies, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), "size")
+    reps = sig.join(copies.select("id"), "id", "left_anti")
+    near = materialize(_alike(reps, threshold), "alike")
     maps = sig.select("id", "size", "bits")
     near = near.join(maps.toDF("a", "size_a", "bits_a"), "a").join(maps.toDF("b", "size_b", "bits_b"), "b")
     pairs = materialize(_bounded(near, threshold), "bounded")

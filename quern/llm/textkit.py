@@ -142,14 +142,20 @@ def grams(words: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def distinct_grams(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct k-word hashes of every text: hashes and text numbers."""
+    """Sorted distinct k-word hashes (52 bits) of every text: hashes and text numbers."""
     words, doc = folded_words(texts)
     h, at = grams(words, doc, k)
-    d = doc[at]
-    order = np.lexsort((h, d))
-    h, d = h[order], d[order]
-    if len(h):
-        keep = np.ones(len(h), bool)
-        keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        h, d = h[keep], d[keep]
-    return h, d
+    h = h >> np.uint64(12)
+    d = doc[at].astype(np.uint64)
+    out = []
+    # text number and hash are sorted as one number, 4096 texts at a time
+    for a, z in zip(*(np.searchsorted(d, np.arange(0, len(texts), 4096, dtype=np.uint64) + np.uint64(s)) for s in (0, 4096))):
+        both = (d[a:z] % np.uint64(4096)) << np.uint64(52) | h[a:z]
+        both.sort()
+        keep = np.ones(len(both), bool)
+        keep[1:] = both[1:] != both[:-1]
+        both = both[keep]
+        out.append((both & np.uint64((1 << 52) - 1), (both >> np.uint64(52)).astype(np.int64) + 4096 * len(out)))
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([h for h, _ in out]), np.concatenate([d for _, d in out])
