@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a folder of its
-    own; on a cluster the setting is always there.
+    A local session without that setting (tests, a laptop) gets a folder of its own, gone when it
+    ends. On a cluster a folder of one machine would be none that executors share: that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="quern-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own

@@ -29,9 +29,9 @@ MIN_SHARE = 0.04
 SUMMARY_ERROR = MIN_SHARE / 2
 #: Counters a partition holds before it prunes within the same error.
 MAX_COUNTERS = 200_000
-#: Rows of confirmed lines up to which they are broadcast (16 bytes each and
-#: the site's name); beyond it the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Lines up to which a table of (site, key) is broadcast, about 25 MB in a task's
+#: memory; beyond it hashes, never texts, are shuffled by site and line.
+BROADCAST_ROWS = 250_000
 
 
 def site_of(url: Column, source: Column) -> Column:
@@ -148,18 +148,32 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return at.join(_sized(confirmed), ["site", "key"]).select("doc_id", (F.col("pos") + 1).cast("int").alias("line_no"), "site", "n_docs")
 
 
+def with_site_lines(rows: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+    """``rows`` (site, keys, ..) with ``name``, those of their site's ``lines`` (site, key) that matter to them; null for none.
+
+    Few lines go to every task as one set per site. More are met by (site, key) hash, and a row gets
+    the lines it has itself by the hash of its keys: no site's rows come together, however many.
+    """
+    if lines.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(lines.groupBy("site").agg(F.collect_set("key").alias(name))), "site", "left")
+    hashed = rows.withColumn("_row", F.xxhash64("site", "keys"))
+    pairs = hashed.select("_row", "site", F.explode(F.array_distinct("keys")).alias("key")).distinct()
+    own = pairs.join(lines, ["site", "key"], "left_semi").groupBy("_row").agg(F.collect_set("key").alias(name))
+    return hashed.join(own, "_row", "left").drop("_row")
+
+
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_removed): every document without its site's repeated lines.
 
     Null texts stay null. The rest of a text, blank lines included, keeps its order.
     """
-    confirmed = repeated(materialize(line_hashes(docs), "line-hashes"))
-    per_site = materialize(confirmed.groupBy("site").agg(F.collect_set("key").alias("bad")), "site-lines")
-    base = docs.select("doc_id", "text", site_of(F.col("url"), F.col("source")).alias("site"))
+    confirmed = materialize(repeated(materialize(line_hashes(docs), "line-hashes")).select("site", "key"), "site-lines")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(F.col("bad"), line_key(line)), F.lit(False)))
-    return base.join(_sized(per_site, 10_000), "site", "left").select(
+    base = docs.select("doc_id", "text", site_of(F.col("url"), F.col("source")).alias("site"), F.transform(lines, line_key).alias("keys"))
+    bad = F.transform("keys", lambda k: F.coalesce(F.array_contains("bad", k), F.lit(False)))
+    kept = F.filter(lines, lambda line, i: ~F.get(bad, i))
+    return with_site_lines(base, confirmed, "bad").select(
         "doc_id",
         F.when(F.col("bad").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.when(F.col("bad").isNull() | F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("int").alias("n_removed"),
+        F.when(F.col("bad").isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.filter(bad, lambda b: b))).cast("int").alias("n_removed"),
     )

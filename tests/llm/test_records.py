@@ -231,6 +231,30 @@ def test_voices_within_an_article():
         assert page_body.body_lines("\n".join(page), "Of Rain", frame, list(range(len(page)))) == want
 
 
+def test_largest_sum_is_the_body(monkeypatch):
+    short = "A few words stand here first."
+    paragraphs = [f"The {w} river rose for many days, and nobody in the valley could remember such a flood." for w in "abcdefghijklmnopqrst"]
+    assert page_body.body_lines("\n".join([short, "Bob says:", *paragraphs]), None) == [1, 2, *range(3, 23)]
+    talk = ["2 comments", "Doris says:", paragraphs[0] * 4]
+    page = "\n".join(["Of Rain", *paragraphs[:2], *talk])
+    assert page_body.body_lines(page, "Of Rain", {5}, [1, 2, 3, 5, 6, 7]) == [2, 3]
+    # the threshold comes from the densities on the path: with links counted as text the short line would be dense enough
+    page = ["Of Rain", "- x", *paragraphs]
+    assert page_body.body_lines("\n".join(page), "Of Rain")[0] == 3
+    monkeypatch.setattr(page_body.Node, "density", lambda self, page: float(self.chars > 0))
+    assert page_body.body_lines("\n".join(page), "Of Rain")[0] == 2
+
+
+def test_density_falls_with_links():
+    def node(*texts):
+        return page_body._node([page_body.Line(t, False, set()) for t in texts])
+
+    text, links = "It rained for many days in the valley, and nobody went out.", "Home | Library | Calendar | Hymns"
+    page = node(text, links)
+    assert node(links).density(page) == 0 < node(text, links).density(page) < node(text).density(page)
+    assert node(text).density(page) < node(text * 3).density(page)
+
+
 def test_page_bodies_of_tables(spark):
     rows = []
     for i in range(60):
