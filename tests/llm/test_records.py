@@ -123,10 +123,19 @@ def test_unlikely_replies_are_roots(spark):
     turns = spark.createDataFrame(rows, "conversation_id string, turn_no int, sort_order int, speaker string, id string, content string, created_at timestamp")
     got = {r.turn_no: (r.parent_no, r.score is None) for r in dialogues.reply_links(turns).collect()}
     assert got == {1: (None, True), 2: (None, True), 3: (2, False), 4: (3, False)}
-    most = sum(dialogues.WEIGHTS[w] for w in ("mention", "overlap", "other"))
+    most = sum(dialogues.WEIGHTS[w] for w in ("mention", "overlap"))
     assert dialogues.WEIGHTS["distance"] * (dialogues.CANDIDATES + 1) + most < dialogues.LEAST_SCORE
 
 
+def test_sound_turns_come_from_the_links(spark, monkeypatch):
+    start = datetime.datetime(2020, 1, 1)
+    rows = [(f"{c}{i}", c, role, i + 1, "words", start + datetime.timedelta(days=i), "x") for c, roles in (("a", "uaua"), ("b", "uuaa"), ("c", "uaau"), ("d", "uaa"), ("e", "auau")) for i, role in enumerate({"u": "user", "a": "assistant"}[r] for r in roles)]
+    df, conv = spark.createDataFrame(rows, MSG), spark.createDataFrame([(c,) for c in "abcde"], "id string")
+    assert sorted(r.id for r in dialogues.sound_turns(df, conv).collect()) == ["a0", "a1", "a2", "a3"]
+    monkeypatch.setattr(dialogues, "reply_links", lambda turns: turns.select("*", F.lit(None).cast("int").alias("parent_no"), F.lit(None).cast("double").alias("score")))
+    assert dialogues.sound_turns(df, conv).count() == 0
+
+
 def test_ranks_of_split_groups(spark, monkeypatch):
     monkeypatch.setattr(ranks, "BLOCK_ROWS", 10)
     rows = spark.range(200).select((F.col("id") % 3 == 0).cast("string").alias("g"), "id")
