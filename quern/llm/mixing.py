@@ -38,7 +38,7 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     sizes = sizes.where("n_tokens > 0 and doc_id is not null").select("doc_id", "source", "n_tokens")
     rates = materialize(source_rates(sizes, targets), "rates")
     used = sizes.join(F.broadcast(rates.select("source", "rate", "max_repeats")), "source").where("rate > 0")
-    order = ranked(used, ["source"], ["n_tokens", "doc_id"], sizes.count())
+    order = ranked(used, ["source"], "doc_id", value="n_tokens")
     offset = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 30)) / float(1 << 30)
     crossed = F.floor((F.col("rank") + 1) * F.col("rate") + offset) - F.floor(F.col("rank") * F.col("rate") + offset)
     return order.select("doc_id", "source", "n_tokens", F.least(crossed, F.col("max_repeats")).cast("int").alias("copies")).where("copies > 0")

@@ -52,7 +52,7 @@ def pack(items: DataFrame, bins: list[tuple[str, int]], levels: int = LEVELS) ->
 
     ``items`` has doc_id and n_tokens; items without tokens are left out. An item larger than the
     capacity is cut into full containers and a rest; no other item is cut. Bins of one name are
-    numbered from 0 without gaps. A doc_id given twice is two items only if the sizes differ.
+    numbered from 0 without gaps. A doc_id given twice is two items.
     """
     spark = items.sparkSession
     schema = "bin_name string, bin_no long, reciprocal_class int, doc_id long, part_no int, start_token long, n_tokens long"
@@ -60,7 +60,7 @@ def pack(items: DataFrame, bins: list[tuple[str, int]], levels: int = LEVELS) ->
     if not bins:
         return spark.createDataFrame([], schema)
     kinds = F.array(*[F.struct(F.lit(n).alias("bin_name"), F.lit(c).cast("long").alias("capacity")) for n, c in bins])
-    sized = items.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0").distinct().withColumn("bin", F.explode(kinds)).select("doc_id", "n_tokens", "bin.*")
+    sized = items.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0").withColumn("bin", F.explode(kinds)).select("doc_id", "n_tokens", "bin.*")
     n_parts = F.ceil(F.col("n_tokens") / F.col("capacity")).cast("int")
     parts = sized.withColumn("part_no", F.explode(F.sequence(F.lit(0), n_parts - 1)))
     start = F.col("part_no") * F.col("capacity")
@@ -77,8 +77,7 @@ def pack(items: DataFrame, bins: list[tuple[str, int]], levels: int = LEVELS) ->
         return spark.createDataFrame([], schema)
     place = "array<struct<from_unit: long, in_each: long, first_bin: long>>"
     table = spark.createDataFrame(rows, f"bin_name string, cls int, bundled long, bundle_from long, bundles {place}, single_from long, singles {place}")
-    total = sum(n for c in counts.values() for n in c.values())
-    placed = ranked(parts, ["bin_name", "cls"], ["item"], total).join(F.broadcast(table), ["bin_name", "cls"])
+    placed = ranked(parts, ["bin_name", "cls"], "item").join(F.broadcast(table), ["bin_name", "cls"])
     in_bundle = F.col("rank") < F.col("bundled")
     unit = F.when(in_bundle, F.col("bundle_from") + F.floor(F.col("rank") / BUNDLE)).otherwise(F.col("single_from") + F.col("rank") - F.col("bundled"))
     placed = placed.withColumn("unit", unit).withColumn("places", F.when(in_bundle, F.col("bundles")).otherwise(F.col("singles")))

@@ -113,6 +113,11 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_share(_table(spark, d, "documents"))
 
 
+def p10_unshared(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    return shared_spans.without_spans(docs, shared_spans.shared_spans(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 

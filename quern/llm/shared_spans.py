@@ -6,10 +6,17 @@ whose anchor is found in two records can be shared; they are brought together
 by anchor, the equal ones merged, and each such shard is a suffix automaton
 whose states know whether one or several records own them. A window is shared
 where the longest match with another record reaches ``least`` words.
+
+A shard with too many different segments is cut by anchors of more words, in the
+end of whole windows, so every shard goes through an automaton of bounded size.
+
+``reference_spans`` is the same search against a stated set of texts: their
+automata are broadcast shard by shard and the records stream past.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +26,15 @@ from pyspark.sql import functions as F
 
 from quern.llm import bloom
 from quern.llm.scratch import materialize
-from quern.llm.textkit import grams, range_hashes, slices, spaced_words
+from quern.llm.textkit import grams, mix, slices, spaced_words
 
+_WORD = re.compile(r"\S+")
 LEAST_WORDS = 50
 ANCHOR_WORDS = 20
-#: Different segments of one anchor that one automaton takes; larger shards compare window hashes instead.
+#: Different segments of one anchor that one automaton takes; larger shards are cut by longer anchors.
 SHARD_SEGMENTS = 1000
+#: Words of a reference that one broadcast automaton takes: about 60 MB of it in a task.
+REFERENCE_WORDS = 100_000
 
 
 def _anchored(words: np.ndarray, doc: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,24 +237,62 @@ def _matches(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["anchor", "seg", "lo", "hi"])
 
 
-def _window_matches(segs: DataFrame, least: int) -> DataFrame:
-    """The same matches for shards too large for one automaton: hashes of whole windows, counted by owner."""
+def _by_shard(kinds: DataFrame, least: int) -> DataFrame:
+    """(anchor, seg, lo, hi): the shared parts of the segments of ``kinds`` (anchor, seg, owner, words), by automaton."""
+    ordered = kinds.select("anchor", "seg", "owner", "words").repartition("anchor").sortWithinPartitions("anchor")
+    return ordered.mapInArrow(lambda b: _shards(b, least), "anchor long, seg long, lo int, hi int")
+
+
+def _longer_anchors(kinds: DataFrame, least: int, k: int) -> DataFrame:
+    """(anchor, seg, inner, id, start, words): the segments of ``kinds`` cut by anchors of k words; inner is the new anchor.
+
+    Equal windows have equal anchors of any length, so none that match are parted. id is lo_id or, for a
+    segment that several records own, both lo_id and hi_id.
+    """
+    owners = F.array_distinct(F.array("lo_id", "hi_id"))
+    docs = kinds.select("anchor", "seg", F.monotonically_increasing_id().alias("row"), "words", owners.alias("owners"))
+    docs = materialize(docs, "large-shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            an, key, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
-            lo, hi = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            words, doc, _, _ = spaced_words(texts)
-            h, at = grams(words, doc, least)
-            d = doc[at]
-            off = at - np.searchsorted(doc, d)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(an[d]), pa.array(key[d]), pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(lo[d]), pa.array(hi[d])], names=["anchor", "seg", "off", "h", "lo_id", "hi_id"]
-            )
-
-    w = segs.select("anchor", "seg", "owner", "words", "lo_id", "hi_id").mapInArrow(run, "anchor long, seg long, off int, h long, lo_id long, hi_id long")
-    several = w.groupBy("h").agg(F.min("lo_id").alias("lo"), F.max("hi_id").alias("hi")).where("lo != hi").select("h")
-    return w.join(several, "h", "left_semi").select("anchor", "seg", F.col("off").alias("lo"), (F.col("off") + least).cast("int").alias("hi"))
+            outer, rows, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            words, doc, begin, end = spaced_words(texts)
+            first_word = np.searchsorted(doc, np.arange(len(texts)))
+            start, at, h = _anchored(words, doc, least, k)
+            if not len(start):
+                continue
+            lo = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])
+            hi = np.r_[lo[1:], len(start)] - 1
+            d = doc[start[lo]]
+            inner = mix(h[lo] ^ outer[d].view(np.uint64)).view(np.int64)
+            out = [texts[i][begin[s] : end[e - 1]] for i, s, e in zip(d, start[lo], start[hi] + least)]
+            yield pa.RecordBatch.from_arrays([pa.array(inner), pa.array(rows[d]), pa.array((start[lo] - first_word[d]).astype(np.int32)), pa.array(out, pa.string())], names=["inner", "row", "at", "part"])
+
+    parts = docs.select("anchor", "row", "words").mapInArrow(run, "inner long, row long, at int, part string")
+    return parts.join(docs.select("row", "anchor", "seg", F.explode("owners").alias("id")), "row").select("anchor", "seg", "inner", "id", "at", "part")
+
+
+def _kinds(segs: DataFrame) -> DataFrame:
+    """(anchor, seg, lo_id, hi_id, words, owner): different segments of each anchor; owner is null where several records have it."""
+    kinds = segs.groupBy("anchor", "seg").agg(F.min("id").alias("lo_id"), F.max("id").alias("hi_id"), F.min("words").alias("words"))
+    return materialize(kinds.withColumn("owner", F.when(F.col("lo_id") == F.col("hi_id"), F.col("lo_id"))), "shards")
+
+
+def _matches_of(kinds: DataFrame, least: int, k: int) -> DataFrame:
+    """(anchor, seg, lo, hi) of shards of any size; k is the length of their anchors."""
+    if k >= least:
+        # one whole window each: what several records own is shared
+        return kinds.where("owner is null").select("anchor", "seg", F.lit(0).alias("lo"), F.lit(least).alias("hi"))
+    large = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_SEGMENTS).select("anchor"), "large-anchors")
+    if large.isEmpty():
+        return _by_shard(kinds, least)
+    usual = _by_shard(kinds.join(large, "anchor", "left_anti"), least)
+    longer = min(least, k + max(1, (least - k + 1) // 2))
+    parts = materialize(_longer_anchors(kinds.join(large, "anchor", "left_semi"), least, longer), "parts")
+    inner = parts.select(F.col("inner").alias("anchor"), "id", F.col("part").alias("words")).withColumn("seg", F.xxhash64("words"))
+    found = _matches_of(_kinds(inner), least, longer).toDF("inner", "inner_seg", "lo", "hi")
+    back = parts.withColumn("inner_seg", F.xxhash64("part")).join(found, ["inner", "inner_seg"])
+    return usual.unionByName(back.select("anchor", "seg", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).distinct())
 
 
 def shared_spans(docs: DataFrame, least: int = LEAST_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
@@ -260,14 +308,14 @@ def shared_spans(docs: DataFrame, least: int = LEAST_WORDS, k: int = ANCHOR_WORD
     wanted = materialize(found.join(recurring, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("wanted")), "recurring")
     few = bloom.thin(base, "id", bloom.build(wanted.select("id")))
     segs = materialize(segments(few.join(wanted, "id"), least, k).withColumn("seg", F.xxhash64("words")), "segments")
-    kinds = segs.groupBy("anchor", "seg").agg(F.min("id").alias("lo_id"), F.max("id").alias("hi_id"), F.min("words").alias("words"))
-    kinds = materialize(kinds.withColumn("owner", F.when(F.col("lo_id") == F.col("hi_id"), F.col("lo_id"))), "shards")
-    large = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_SEGMENTS).select("anchor")
-    usual = kinds.join(large, "anchor", "left_anti").select("anchor", "seg", "owner", "words")
-    by_shard = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _shards(b, least), "anchor long, seg long, lo int, hi int")
-    matches = by_shard.unionByName(_window_matches(kinds.join(large, "anchor", "left_semi"), least))
+    matches = _matches_of(_kinds(segs), least, k)
     at = segs.select("anchor", "seg", "id", "start").join(matches, ["anchor", "seg"])
     spans = at.select("id", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi")).alias("z"))
+    return _merged(spans)
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """(doc_id, start_word, n_words): overlapping and touching spans (id, a, z) as one."""
     order = Window.partitionBy("id").orderBy("a", "z")
     reach = F.max("z").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0)).withColumn("run", F.sum("new").over(order))
@@ -278,6 +326,77 @@ def shared_spans(docs: DataFrame, least: int = LEAST_WORDS, k: int = ANCHOR_WORD
     )
 
 
+def reference_shards(texts: list[str], shard_words: int = REFERENCE_WORDS) -> list[list[str]]:
+    """The texts in shards of about ``shard_words`` words; a longer text is a shard of its own."""
+    shards, size = [[]], 0
+    for t in texts:
+        n = len(t.split())
+        if shards[-1] and size + n > shard_words:
+            shards.append([])
+            size = 0
+        shards[-1].append(t)
+        size += n
+    return shards
+
+
+def reference_spans(docs: DataFrame, reference: list[str], least: int = LEAST_WORDS, shard_words: int = REFERENCE_WORDS) -> DataFrame:
+    """(doc_id, start_word, n_words): spans of ``docs`` (doc_id, text) that stand in a text of ``reference``, a stated set that fits the driver.
+
+    One pass over the records for every shard, so for few references only: ``shared_spans`` brings
+    records together by anchor instead.
+    """
+    out = None
+    for shard in reference_shards([t for t in reference if t and t.strip()], shard_words):
+        if not shard:
+            continue
+        auto, ids = SuffixAutomaton(), {}
+        for t in shard:
+            auto.add([ids.setdefault(w, len(ids)) for w in t.split()], SuffixAutomaton.SEVERAL)
+        auto.finish()
+        shared = docs.sparkSession.sparkContext.broadcast((auto.next, auto.link, auto.length, auto._longest, ids))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            auto = SuffixAutomaton()
+            auto.next, auto.link, auto.length, auto._longest, ids = shared.value
+            for batch in batches:
+                rows = []
+                for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    ends = np.array(auto.matching_statistics([ids.get(w, -1) for w in t.split()]), np.int64) >= least
+                    rows += [(doc, a - least + 1, b) for a, b in _runs(ends)]
+                cols = list(zip(*rows)) if rows else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()))], names=["id", "a", "z"])
+
+        found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "id long, a int, z int")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, start_word int, n_words int")
+    return _merged(out)
+
+
+def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, text, n_removed): every record without the words of its ``spans`` (doc_id, start_word, n_words).
+
+    What is left keeps its own white space; a record without spans stays as it is, null texts null.
+    """
+    own = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, removed = [], []
+            for t, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                n = 0
+                if t is not None and found:
+                    at = [m.span() for m in _WORD.finditer(t)]
+                    for s in sorted(found, key=lambda s: -s["start_word"]):
+                        lo, hi = at[s["start_word"]][0], at[s["start_word"] + s["n_words"] - 1][1]
+                        t, n = t[:lo] + t[hi:], n + s["n_words"]
+                texts.append(t)
+                removed.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["doc_id", "text", "n_removed"])
+
+    return docs.select("doc_id", "text").join(own, "doc_id", "left").mapInArrow(run, "doc_id long, text string, n_removed int")
+
+
 def shared_share(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, n_words, n_shared, share): how much of every record with text is shared elsewhere."""
     spans = shared_spans(docs, least).groupBy("doc_id").agg(F.sum("n_words").alias("n_shared"))

@@ -73,6 +73,27 @@ def test_large_family_of_reworked_texts(spark):
     assert got <= want and len(got) >= 0.99 * len(want), (len(got), len(want))
 
 
+def test_common_passage_hides_no_pair(spark):
+    """Unlike texts share one passage; pairs of them are alike because of it and of a part of their own."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(20_000)]
+    passage = [rng.choice(vocab) for _ in range(90)]
+    texts = []
+    for _ in range(300):
+        own = [rng.choice(vocab) for _ in range(90)]
+        texts.append(passage + own)
+        texts.append(passage + own[:55] + [rng.choice(vocab) for _ in range(35)])
+    texts = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {tuple(sorted(r)) for r in near_duplicates.duplicate_pairs(spark.createDataFrame(texts, "doc_id long, text string"), 3, 0.5).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(300)}
+
+
+def test_bands_for_any_threshold():
+    for threshold in (0.1, 0.3, 0.5, 0.7, 0.8, 0.95):
+        bands, rows = near_duplicates.banding(threshold)
+        assert (1 - threshold**rows) ** bands <= near_duplicates.MISSED
+
+
 def test_hot_class_is_not_multiplied(spark):
     rows = [(i, "the very same text in a third of all rows") for i in range(3000)] + [(5000 + i, t) for i, t in enumerate(corpus(2, 60))]
     got = near_duplicates.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.5)
@@ -165,6 +186,29 @@ def test_spans_of_equal_texts(spark):
     assert got == {(i, 0, 60) for i in range(2000)} | {(9000, 0, 50)}
 
 
+def test_spans_of_a_reference_and_without_spans(spark):
+    texts = span_corpus(7) + [(900, None), (901, " "), (902, "")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, n_words int")
+    reference = [t for _, t in texts[:40]]
+    windows = {tuple(w[p : p + 50]) for w in (t.split() for t in reference) for p in range(len(w) - 49)}
+    want = set()
+    for i, t in texts:
+        w, flags = (t or "").split(), np.zeros(len((t or "").split()) + 2, np.int8)
+        for p in range(len(w) - 49):
+            if tuple(w[p : p + 50]) in windows:
+                flags[p + 1 : p + 51] = 1
+        edge = np.flatnonzero(np.diff(flags))
+        want |= {(i, int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2])}
+    for shard_words in (500, 10**6):
+        assert {tuple(r) for r in shared_spans.reference_spans(df, reference, shard_words=shard_words).collect()} == want
+    assert shared_spans.reference_spans(df, ["", None]).count() == 0
+    cut = {r.doc_id: r for r in shared_spans.without_spans(df, shared_spans.reference_spans(df, reference)).collect()}
+    assert len(cut) == len(texts) and cut[900].text is None and cut[901].text == " "
+    for i, t in texts[:150]:
+        drop = {p for j, a, n in want if j == i for p in range(a, a + n)}
+        assert cut[i].text.split() == [w for p, w in enumerate(t.split()) if p not in drop] and cut[i].n_removed == len(drop)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=14), min_size=1, max_size=4))
 def test_automaton_matching_statistics(seqs):

@@ -138,10 +138,14 @@ def test_sound_turns_come_from_the_links(spark, monkeypatch):
 
 def test_ranks_of_split_groups(spark, monkeypatch):
     monkeypatch.setattr(ranks, "BLOCK_ROWS", 10)
-    rows = spark.range(200).select((F.col("id") % 3 == 0).cast("string").alias("g"), "id")
-    got = ranks.ranked(rows, ["g"], ["id"], 200).collect()
-    for g in ("true", "false"):
-        assert sorted(r["rank"] for r in got if r.g == g) == list(range(sum(r.g == g for r in got)))
+    rows = spark.range(200).select((F.col("id") % 3 == 0).cast("string").alias("g"), "id", (F.col("id") % 4).alias("v"))
+    for value in (None, "v"):
+        got = ranks.ranked(rows, ["g"], "id", value).collect()
+        assert len(got) == 200
+        for g in ("true", "false"):
+            own = sorted((r for r in got if r.g == g), key=lambda r: r["rank"])
+            assert [r["rank"] for r in own] == list(range(len(own)))
+            assert value is None or [r.v for r in own] == sorted(r.v for r in own)
 
 
 def check_packing(packed, sizes, bins):
