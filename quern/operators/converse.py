@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import match
 from quern.operators.ranking import first_wins, numbered
 
 SOURCES = "array<struct<source_type: string, pdf: string, page: int, url: string, title: string>>"
@@ -30,6 +31,7 @@ def history_messages(messages: DataFrame, role: str | None = None) -> DataFrame:
 
 def named_entity(content: Column, titles: Iterable[str] = ("St\\.", "Saint")) -> Column:
     """The first bold text of 2 to 80 characters, else the first title with up to five capitalised words; null for none."""
+    # The patterns of a bold text and of a title with capitalised words.
     bold = T.clean_label(F.regexp_extract(content, r"\*\*([^*\n]{2,80})\*\*", 1))
     plain = F.regexp_extract(content, rf"(?<![\p{{L}}\p{{N}}_])((?:{'|'.join(titles)})\s+[A-Z][A-Za-z]*(?:\s+[A-Z][A-Za-z]*){{0,4}})", 1)
     return F.when(bold != "", bold).when(plain != "", T.clean_label(plain))
@@ -37,16 +39,26 @@ def named_entity(content: Column, titles: Iterable[str] = ("St\\.", "Saint")) ->
 
 def asked_name(content: Column) -> Column:
     """The name a user asks about ("who is X", "tell me about X"); null for other questions."""
+    # Fixed value: how a question about someone begins.
     name = T.collapse(F.regexp_extract(T.strip(content), r"(?is)^(?:who\s+is|who\s+was|tell\s+me\s+about|about)\s+(.+?)\s*[?.!]*$", 1))
     return F.when(name != "", name)
 
 
-def last_entity(messages: DataFrame, **options) -> DataFrame:
-    """(conversation_id, entity): what was last talked about: the newest answer naming something, else the newest question about someone."""
+def last_entity(messages: DataFrame, index: DataFrame | None = None, key: Callable[[Column], Column] | None = None, **options) -> DataFrame:
+    """(conversation_id, entity): what was last talked about: the newest answer naming something, else the newest question about someone.
+
+    With an ``index`` (keys as of ``match.name_keys``) and the ``key`` it is made with, a name asked about
+    becomes its best match there, if it has one.
+    """
     said = F.when(F.col("role") == "assistant", named_entity(F.col("content"), **options)).when(F.col("role") == "user", asked_name(F.col("content")))
     found = messages.select("conversation_id", "role", "sort_order", said.alias("entity")).where("entity is not null")
     newest = F.max_by("entity", F.struct((F.col("role") == "assistant").alias("answer"), "sort_order", "entity"))
-    return found.groupBy("conversation_id").agg(newest.alias("entity"))
+    if index is None:
+        return found.groupBy("conversation_id").agg(newest.alias("entity"))
+    last = found.groupBy("conversation_id").agg(newest.alias("entity"), F.max(F.col("role") == "assistant").alias("answered"))
+    asked = last.where("not answered").select(F.col("entity").alias("query")).distinct()
+    best = match.search(index, asked.withColumn("query_key", key(F.col("query"))), limit=1).select(F.col("query").alias("entity"), "name")
+    return last.join(best, "entity", "left").select("conversation_id", F.when(F.col("answered"), F.col("entity")).otherwise(F.coalesce("name", "entity")).alias("entity"))
 
 
 _WORD_START, _WORD_END = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
@@ -136,8 +148,8 @@ def save_turns(conversations: DataFrame, messages: DataFrame, turns: DataFrame,
     """Conversations and messages after ``turns`` (turn_no, conversation_id, session_id, question, answer, entities, options, sources, at).
 
     A conversation that is not there is created; orders go on from the largest; every turn adds the
-    question and, if there is one, the answer; a placeholder title becomes the first question. Write
-    both results in one step of the caller's to keep them together.
+    question and, if there is one, the answer; a placeholder title becomes the first question. A
+    ``Snapshots`` store writes both results as one version.
     """
     known = conversations.select(F.col("id").alias("conversation_id"))
     new = turns.join(known, "conversation_id", "left_anti").groupBy("conversation_id").agg(F.min("session_id").alias("session_id"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
@@ -248,6 +260,23 @@ def linked_names(rows: DataFrame, text_col: str, names: DataFrame, key: Sequence
     return found.join(known, "_k", "left_semi").drop("_k")
 
 
+def looks_like_name(value: Column, titles: Iterable[str], always: str = "") -> Column:
+    """Whether a text reads like a name: a title before it, a term of ``always`` (a pattern) in it, or several words of its display key."""
+    titles = list(titles)
+    key = T.display_key(value, titles)
+    titled = value.rlike(rf"(?i)^\s*(?:{'|'.join(t.replace('.', '[.]?') for t in titles)})\s+")
+    named = value.rlike(rf"(?i){_WORD_START}(?:{always}){_WORD_END}") if always else F.lit(False)
+    return F.coalesce((key != "") & (named | titled | (F.size(T.words(key)) >= 2)), F.lit(False))
+
+
+def valid_names(rows: DataFrame, value_col: str, names: DataFrame, titles: Iterable[str], always: str = "") -> DataFrame:
+    """``rows`` with is_name: the value's display key is that of a known name (name), or it looks like one."""
+    titles = list(titles)
+    known = names.select(T.display_key(F.col("name"), titles).alias("_k")).where("_k != ''").distinct().withColumn("_known", F.lit(True))
+    out = rows.withColumn("_k", T.display_key(F.col(value_col), titles)).join(known, "_k", "left")
+    return out.withColumn("is_name", F.coalesce("_known", F.lit(False)) | looks_like_name(F.col(value_col), titles, always)).drop("_k", "_known")
+
+
 def display_names(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """(name, shown): the first alias (name_key, ordinal, alias) of a name in the other language, else the name."""
     first = aliases.groupBy("name_key").agg(F.min_by("alias", "ordinal").alias("alias"))

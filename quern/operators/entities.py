@@ -77,16 +77,18 @@ def text_lines(rows: DataFrame, key: Sequence[str], text_col: str = "text") -> D
 def sections(rows: DataFrame, key: Sequence[str], text_col: str = "text", excluded: Iterable[str] = (), least_words: int = 20) -> DataFrame:
     """``key``, line_pos, heading, body: what stands under each heading up to the next one.
 
-    Gaps and islands within one text: a running count of headings names the section of every line.
-    Blank lines and lines of figures are left out; bodies under ``least_words`` words are dropped.
+    Done within the row: the lines of a text are cut at its headings, no line is shuffled. Blank lines
+    and lines of figures are left out; bodies under ``least_words`` words are dropped.
     """
-    marked = text_lines(rows, key, text_col).withColumn("head", is_heading(F.col("line"), excluded))
-    so_far = Window.partitionBy(*key).orderBy("line_pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("section", F.sum(F.col("head").cast("int")).over(so_far)).where("section > 0")
-    body_line = ~F.col("head") & (F.col("line") != "") & ~F.col("line").rlike(r"^[0-9]+$")
-    ordered = F.array_sort(F.collect_list(F.when(body_line, F.struct("line_pos", "line"))))
-    out = marked.groupBy(*key, "section").agg(F.min_by("line", "line_pos").alias("heading"), F.min("line_pos").alias("line_pos"), T.collapse(F.array_join(F.transform(ordered, lambda s: s["line"]), " ")).alias("body"))
-    return out.where(F.size(T.words(F.col("body"))) >= least_words).select(*key, "line_pos", "heading", "body")
+    lines = F.transform(T.lines(F.col(text_col)), T.strip)
+    marked = rows.select(*key, F.transform(lines, lambda v, i: F.struct(v.alias("line"), is_heading(v, excluded).alias("head"), i.alias("pos"))).alias("_l"))
+    marked = marked.withColumn("_h", F.filter("_l", lambda v: v["head"]))
+    each = marked.select(*key, "_l", "_h", F.posexplode("_h").alias("_i", "_s"))
+    end = F.coalesce(F.get("_h", F.col("_i") + 1)["pos"], F.size("_l"))
+    inside = F.slice("_l", F.col("_s.pos") + 2, F.greatest(end - F.col("_s.pos") - 1, F.lit(0)))
+    kept = F.filter(F.transform(inside, lambda v: v["line"]), lambda v: (v != "") & ~v.rlike(r"^[0-9]+$"))
+    out = each.select(*key, F.col("_s.pos").alias("line_pos"), F.col("_s.line").alias("heading"), T.collapse(F.array_join(kept, " ")).alias("body"))
+    return out.where(F.size(T.words(F.col("body"))) >= least_words)
 
 
 def suggestion_name(c: Column, prefix: str = "St.", bad_tokens: Iterable[str] = NO_NAME_WORDS) -> Column:
@@ -205,11 +207,12 @@ def index_warnings(stats: dict[str, int]) -> list[str]:
 
 def name_union(parts: Sequence[DataFrame], name_col: str, order: Sequence[str], composed: bool = False) -> DataFrame:
     """(name, position): names of several sources, earlier sources first, each Arabic key once."""
-    keyed = [p.select(T.arabic_display(F.col(name_col), composed).alias("name"), *[c for c in order if c != name_col]) for p in parts]
+    keyed = [p.select(T.arabic_display(F.col(name_col), composed).alias("name"), *[c for c in order if c not in (name_col, "name")]) for p in parts]
     keyed = [p.withColumn("key", T.arabic_key(F.col("name"), True)).where("key != ''") for p in keyed]
     return ordered_union(keyed, ["key"], list(order)).select("name", "position")
 
 
+# Fixed value: how a mention of a name with its title reads.
 _MENTION = r"(?<![\p{L}\p{N}_])%s\s+[A-Z][A-Za-z'\-]+(?:\s+(?:of|the|[A-Z][A-Za-z'\-]+)){0,5}"
 
 

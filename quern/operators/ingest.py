@@ -143,13 +143,16 @@ def with_retries(call: Callable[[list[str]], list[list[float]]], limited: Callab
     return run
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+def upsert(existing: DataFrame, new: DataFrame, key: str = "id", order: Sequence[str] = ()) -> DataFrame:
     """``existing`` with the rows of ``new`` in place of, or beside, those of equal key.
 
-    Of rows of ``new`` with one key any one must do (they are the same chunk). Null keys never match.
+    Of rows of ``new`` with one key the last by ``order`` stands, then by all its columns, so the result
+    does not depend on partitioning. Null keys never match, and are one row.
     """
-    once = new.dropDuplicates([key])
-    return existing.join(once.select(key), key, "left_anti").select(*existing.columns).unionByName(once.select(*existing.columns))
+    cols = existing.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in [*order, *[c for c in cols if c not in order]]])
+    once = new.select(*cols).groupBy(F.col(key).alias("_key")).agg(F.max(row).alias("_r")).select(*[F.col("_r")[c].alias(c) for c in cols])
+    return existing.join(once.select(key), key, "left_anti").select(*cols).unionByName(once)
 
 
 def without_stale(existing: DataFrame, new: DataFrame, scope: str = "url", key: str = "id") -> DataFrame:
@@ -180,12 +183,17 @@ def int_setting(value: str | None, default: int, floor: int = 0) -> int:
         return max(floor, default)
 
 
-def attempt_sources(sources: dict[str, Callable[[], DataFrame]], required: set[str] = frozenset()) -> tuple[list[DataFrame], dict[str, str]]:
-    """Results of the sources that can be built, and the others' errors; a required source's error is raised."""
+def attempt_sources(sources: dict[str, Callable[[], DataFrame]], required: set[str] = frozenset(), stage: Callable[[DataFrame], DataFrame] | None = None) -> tuple[list[DataFrame], dict[str, str]]:
+    """Results of the sources that could be read, and the others' errors; a required source's error is raised.
+
+    ``stage`` writes a source's rows and reads them back (as ``Collection.stage`` does): only then do
+    errors that a source has while it is read come up here, one source by itself.
+    """
     done, errors = [], {}
     for name, build in sources.items():
         try:
-            done.append(build())
+            rows = build()
+            done.append(rows if stage is None else stage(rows))
         except Exception as e:
             if name in required:
                 raise

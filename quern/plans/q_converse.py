@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import converse, guard
+from quern.operators import converse, guard, match
 from quern.operators.ranking import numbered
 from quern.plans import registry as R
 from quern.plans.registry import query, table
+from quern.sources.collections import Snapshots
+from quern.sources.tables import shared_folder
 
 #: Messages once per id (the table holds some rows twice), as all queries here use them.
 _M = """m0 AS (SELECT id, min(conversation_id) AS conversation_id, min(CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'ai', 'bot', 'model') THEN 'assistant' ELSE lower(trim(role)) END) AS role,
@@ -128,10 +130,10 @@ def session_recent(spark: SparkSession, d: str) -> DataFrame:
 _SHORT = f"CASE WHEN {R.strip('f.question')} = '' THEN 'New Chat' WHEN length({R.strip('f.question')}) > 70 THEN substr({R.strip('f.question')}, 1, 67) || '...' ELSE {R.strip('f.question')} END"
 
 
-@query(f"""WITH {_M}, f AS (SELECT conversation_id, arg_min(content, sort_order * 1000) AS question FROM (SELECT * FROM m WHERE role = 'user' AND content IS NOT NULL AND sort_order = 1) GROUP BY conversation_id HAVING count(*) = 1)
+@query(f"""WITH {_M}, f AS (SELECT conversation_id, arg_min(content, (sort_order, id)) AS question FROM (SELECT * FROM m WHERE role = 'user' AND content IS NOT NULL) GROUP BY conversation_id)
   SELECT c.id, CASE WHEN c.title = 'New Chat' AND f.question IS NOT NULL THEN {_SHORT} ELSE c.title END AS title FROM chat_conversations c LEFT JOIN f ON f.conversation_id = c.id""")
 def conv_title(spark: SparkSession, d: str) -> DataFrame:
-    first = _messages(spark, d).where("role = 'user' and content is not null and sort_order = 1").groupBy("conversation_id").agg(F.min("content").alias("question"), F.count("*").alias("n")).where("n = 1").drop("n")
+    first = _messages(spark, d).where("role = 'user' and content is not null").groupBy("conversation_id").agg(F.min_by("content", F.struct("sort_order", "id")).alias("question"))
     return converse.retitle(table(spark, d, "chat_conversations"), first).select("id", "title")
 
 
@@ -150,6 +152,36 @@ def save_turns(spark: SparkSession, d: str) -> DataFrame:
     return messages.select("conversation_id", "role", "content", "sort_order")
 
 
+@query(f"""WITH {_M}, ids AS (SELECT DISTINCT conversation_id AS id FROM m WHERE conversation_id IS NOT NULL), new AS (SELECT id FROM ids WHERE id NOT IN (SELECT id FROM chat_conversations))
+  SELECT id, CASE WHEN title = 'New Chat' THEN 'a follow up' ELSE title END AS title, session_id FROM chat_conversations UNION ALL SELECT id, 'a follow up', 'late' FROM new""")
+def saved_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations after a turn for each one that messages name: those not there are created, and both tables are written as one version."""
+    c, m = table(spark, d, "chat_conversations"), _messages(spark, d)
+    none = F.lit(None).cast("string")
+    ids = m.where("conversation_id is not null").select("conversation_id").distinct().unionByName(c.select(F.col("id").alias("conversation_id"))).distinct()
+    turns = ids.select(F.lit(1).alias("turn_no"), "conversation_id", F.lit("late").alias("session_id"), F.lit("a follow up").alias("question"), none.alias("answer"), none.alias("entities"), none.alias("options"), none.alias("sources"), F.lit("2030-01-01 00:00:00").cast("timestamp").alias("at"))
+    conversations, messages = converse.save_turns(c, m, turns)
+    store = Snapshots(spark, shared_folder(spark))
+    store.write({"conversations": conversations, "messages": messages})
+    return store.read("conversations").select("id", "title", "session_id")
+
+
+_INDEXED = f"""idx AS (SELECT DISTINCT name_en AS name, {R.latin_key('name_en', ['st', 'saint', 'saints'])} AS key FROM saints_ar_seed), w AS (SELECT n.conversation_id, n.entity, n.role = 'assistant' AS answered, {R.latin_key('n.entity', ['st', 'saint', 'saints'])} AS qk FROM
+    (SELECT conversation_id, role, entity, row_number() OVER (PARTITION BY conversation_id ORDER BY (role = 'assistant') DESC, sort_order DESC, entity DESC) AS k FROM e WHERE entity IS NOT NULL) n WHERE k = 1),
+  hits AS (SELECT w.entity, idx.name, CASE WHEN qk = key THEN 0 WHEN starts_with(key, qk) THEN 2 WHEN contains(key, qk) THEN 3 WHEN len(list_filter(string_split(qk, ' '), lambda x: NOT list_contains(string_split(key, ' '), x))) = 0 THEN 4 END AS score FROM (SELECT DISTINCT entity, qk FROM w WHERE NOT answered AND qk <> '') w, idx),
+  best AS (SELECT entity, arg_min(name, (score, length(name), lower(name))) AS name FROM hits WHERE score IS NOT NULL GROUP BY entity)"""
+
+
+@query(f"WITH {_M}, {_ENTITY}, {_INDEXED} SELECT conversation_id, CASE WHEN answered THEN w.entity ELSE coalesce(best.name, w.entity) END AS entity FROM w LEFT JOIN best ON best.entity = w.entity")
+def last_entity_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """What was last talked about, with a name asked for as the index has it."""
+    def key(c):
+        return T.latin_key(c, titles=["st", "saint", "saints"])
+
+    names = table(spark, d, "saints_ar_seed").select(F.col("name_en").alias("id"), F.col("name_en").alias("name")).distinct()
+    return converse.last_entity(_messages(spark, d), match.name_keys(names, F.array("name"), key), key)
+
+
 @query(f"""WITH {_M.replace(', m AS (SELECT * FROM m0 WHERE sort_order IS NOT NULL)', '')}
   SELECT 'conversation id repeated' AS rule, count(*) AS n FROM (SELECT id FROM chat_conversations GROUP BY id HAVING count(*) > 1) UNION ALL
   SELECT 'message id repeated', count(*) FROM (SELECT id FROM chat_messages GROUP BY id HAVING count(*) > 1) UNION ALL
@@ -202,9 +234,9 @@ _SRC = "coalesce(CASE WHEN json_valid(sources) THEN from_json(sources, '[{\"sour
 _USABLE = f"len(list_filter({_SRC}, lambda s: (coalesce(s.pdf, '') <> '' AND s.page IS NOT NULL) OR coalesce(s.url, '') <> ''))"
 
 
-@query(f"WITH {_M} SELECT id, {_USABLE}::INT AS n_sources, trim(coalesce(content, '')) <> '' AND {_USABLE} > 0 AND NOT contains(lower(coalesce(content, '')), 'could not find') AS backed FROM m WHERE role = 'assistant' AND NOT regexp_matches(coalesce(content, ''), '^[^\\x21-\\x7e]*$')")
+@query(f"WITH {_M} SELECT id, {_USABLE}::INT AS n_sources, {R.strip("coalesce(content, '')")} <> '' AND {_USABLE} > 0 AND NOT contains(lower(coalesce(content, '')), 'could not find') AS backed FROM m WHERE role = 'assistant'")
 def usable_sources(spark: SparkSession, d: str) -> DataFrame:
-    m = converse.parsed_messages(_messages(spark, d)).where("role = 'assistant'").where(~F.coalesce("content", F.lit("")).rlike(r"^[^\x21-\x7e]*$"))
+    m = converse.parsed_messages(_messages(spark, d)).where("role = 'assistant'")
     return m.select("id", F.size(converse.usable_sources(F.col("sources"))).alias("n_sources"), converse.source_backed(F.col("content"), F.col("sources"), ["could not find"]).alias("backed"))
 
 
@@ -219,6 +251,16 @@ def linked_names(spark: SparkSession, d: str) -> DataFrame:
     return converse.linked_names(_messages(spark, d).where("content is not null"), "content", names, ["id"], ["st.", "saint"])
 
 
+@query(f"""WITH {_M}, b AS (SELECT id, regexp_extract_all(content, '\\*\\*([^*]+)\\*\\*', 1) AS l FROM m WHERE content IS NOT NULL), s AS (SELECT id, i AS pos, l[i + 1] AS segment FROM b, LATERAL (SELECT unnest(range(0, len(l))) AS i)),
+  n AS (SELECT DISTINCT {_DKEY.format(R.collapse("split_part(name_en, ' of ', 1)"))} AS k FROM saints_ar_seed), d AS (SELECT *, {_DKEY.format(R.collapse("regexp_replace(segment, '^\\s*[0-9]+[.)]\\s*', '')"))} AS k FROM s)
+  SELECT id, pos::INT AS pos, segment, k <> '' AND (k IN (SELECT k FROM n) OR regexp_matches(segment, '(?i)^\\s*(?:st[.]?|saint)\\s+') OR len({R.words('k')}) >= 2) AS is_name FROM d""")
+def valid_names(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the bold pieces of messages are names: known ones, or such as look like one."""
+    names = table(spark, d, "saints_ar_seed").select(F.split("name_en", " of ")[0].alias("name"))
+    bold = _messages(spark, d).where("content is not null").select("id", F.posexplode(converse.bold_segments(F.col("content"))).alias("pos", "segment"))
+    return converse.valid_names(bold, "segment", names, ["st.", "saint"])
+
+
 @query("""WITH a AS (SELECT lower(name_en) AS k, aliases_ar[1] AS alias FROM saints_ar_seed WHERE len(aliases_ar) > 0), f AS (SELECT k, min(alias) AS alias FROM a GROUP BY k)
   SELECT name_en AS name, coalesce(f.alias, name_en) AS shown FROM (SELECT DISTINCT name_en FROM saints_ar_seed) s LEFT JOIN f ON f.k = lower(name_en)""")
 def display_names(spark: SparkSession, d: str) -> DataFrame:

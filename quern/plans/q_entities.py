@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import entities, match
-from quern.operators.ranking import ordered_union, page
+from quern.operators.ranking import ordered_union, page, positioned
 from quern.plans import registry as R
+from quern.plans.q_ingest import ALL_NAMES, all_names
 from quern.plans.registry import query, table
 from quern.sources.tables import text_table
 
@@ -132,28 +133,58 @@ _ENTRY = R.strip(f"regexp_replace(regexp_replace({R.arabic_display(_CUT_SEGMENT)
 
 
 @query(f"""
-  WITH t AS (SELECT id, string_split('intro ✞ ' || name_ar || ' 12' || '  life of it ✞ ' || name_ar || ' ولد في', '✞') AS parts FROM saints_ar_seed),
+  WITH t AS (SELECT id, string_split('intro ✞ ' || name_ar || ' 12' || '  life of it ✞ ' || name_ar || ' ولد في', '✞') AS parts FROM {ALL_NAMES}),
   e AS (SELECT id, i, {R.strip('parts[i + 2]')} AS segment FROM t, LATERAL (SELECT unnest(range(0, len(parts) - 1)) AS i)),
   h AS (SELECT id, i::INT AS entry_pos, segment, {_ENTRY} AS heading FROM e)
   SELECT id, entry_pos, heading, segment FROM h WHERE length(heading) BETWEEN 2 AND 90 AND len(string_split(heading, ' ')) <= 8""")
 def marked_entries(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("name_ar")
-    rows = table(spark, d, "saints_ar_seed").select("id", F.concat(F.lit("intro ✞ "), n, F.lit(" 12  life of it ✞ "), n, F.lit(" ولد في")).alias("text"))
+    rows = all_names(spark, d).select("id", F.concat(F.lit("intro ✞ "), n, F.lit(" 12  life of it ✞ "), n, F.lit(" ولد في")).alias("text"))
     return entities.marked_entries(rows, ["id"], cues=["ولد", "كان"], most_words=8)
 
 
 @query(f"""
-  WITH s AS (SELECT 1 AS page, name_ar, {R.arabic_key('name_ar')} AS key, row_number() OVER (ORDER BY id) AS n FROM saints_ar_seed),
-  f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n) AS r FROM s)
-  SELECT 'entry-' || substr(sha1(key), 1, 12) AS id, {R.arabic_display('name_ar')} AS name_ar, n::INT AS page_start, 'book' AS source_title FROM f WHERE r = 1""")
+  WITH s AS (SELECT DISTINCT g.page_start AS page, n.id, n.name_ar, {R.arabic_key('n.name_ar')} AS key FROM {ALL_NAMES} n JOIN saints_ar_generated g ON g.id = n.id),
+  f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page, id) AS r FROM s WHERE key <> '')
+  SELECT 'entry-' || substr(sha1(key), 1, 12) AS id, {R.arabic_display('name_ar')} AS name_ar, page AS page_start, 'book' AS source_title FROM f WHERE r = 1""")
 def entry_index(spark: SparkSession, d: str) -> DataFrame:
-    seed = table(spark, d, "saints_ar_seed").select("id", "name_ar")
-    from pyspark.sql import Window
-
-    pages = seed.select(F.lit("b.pdf").alias("pdf"), F.row_number().over(Window.orderBy("id")).alias("page"), F.concat(F.lit("✞ "), "name_ar", F.lit("  text")).alias("text"))
+    """The index of the entries that stand on the pages of a book."""
+    rows = table(spark, d, "saints_ar_generated").select("id", "name_ar", "page_start").distinct()
+    pages = rows.select(F.concat(F.lit("b"), "id").alias("pdf"), F.col("page_start").alias("page"), F.concat(F.lit("✞ "), "name_ar", F.lit("  text")).alias("text"))
+    pages = pages.groupBy(F.lit("b.pdf").alias("pdf"), "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pdf", "text"))), lambda v: v["text"]), " ").alias("text"))
     return entities.entry_index(pages, source_title="book").select("id", "name_ar", "page_start", "source_title")
 
 
+_UNION = f"""u AS (SELECT 0 AS part, id, name_ar FROM saints_ar_seed UNION SELECT 1, id, name_ar FROM saints_ar_generated UNION SELECT 2, coalesce(pdf, ''), title FROM chunks WHERE title IS NOT NULL),
+  n AS (SELECT part, id, {R.arabic_display(R.nfkc('name_ar'))} AS name FROM u), k AS (SELECT *, {R.arabic_key('name')} AS key FROM n),
+  f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY part, id, name) AS r FROM k WHERE key <> ''), names AS (SELECT name, key, (row_number() OVER (ORDER BY part, id, name) - 1)::INT AS position FROM f WHERE r = 1)"""
+
+
+def _union(spark: SparkSession, d: str) -> DataFrame:
+    parts = [table(spark, d, t).select("id", F.col("name_ar").alias("name")).distinct() for t in ("saints_ar_seed", "saints_ar_generated")]
+    parts.append(table(spark, d, "chunks").where("title is not null").select(F.coalesce("pdf", F.lit("")).alias("id"), F.col("title").alias("name")).distinct())
+    parts = [p.withColumn("raw", F.col("name")) for p in parts]
+    return entities.name_union(parts, "name", ["id", "name"])
+
+
+@query(f"WITH {_UNION} SELECT name, position FROM names")
+def name_union(spark: SparkSession, d: str) -> DataFrame:
+    """Names of the hand-kept index, then of the generated one, then of the chunks' titles, each Arabic key once."""
+    return _union(spark, d)
+
+
+@query(f"""WITH {_UNION}, c AS (SELECT 'chunks' AS source, count(DISTINCT title) AS n FROM chunks UNION ALL SELECT 'generated', count(*) FROM (SELECT DISTINCT id FROM saints_ar_generated) UNION ALL SELECT 'seed', count(*) FROM saints_ar_seed)
+  SELECT array_to_string(list(source || '=' || n ORDER BY source), '|') AS counts, array_to_string(list(source ORDER BY source) FILTER (WHERE n > 0), '+') AS used, (SELECT count(*) FROM names) AS n_total,
+    array_to_string((SELECT list(name ORDER BY position) FILTER (WHERE position < 20) FROM names), '|') AS sample, (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(*) FROM chunks WHERE title = 'full saints arabic') AS n_titled,
+    'full saints arabic.pdf' AS found, 'not there.pdf' AS missing FROM c""")
+def sources_report(spark: SparkSession, d: str) -> DataFrame:
+    """Where an index of several sources comes from, and which of the expected files are there."""
+    parts = {"seed": table(spark, d, "saints_ar_seed"), "generated": table(spark, d, "saints_ar_generated").select("id").distinct(), "chunks": table(spark, d, "chunks").where("title is not null").select("title").distinct()}
+    r = match.sources_report(parts, _union(spark, d), table(spark, d, "chunks"), "full saints arabic", ["full saints arabic.pdf", "not there.pdf"])
+    counts = F.array_join(F.transform("counts", lambda c: F.concat(c["source"], F.lit("="), c["n"].cast("string"))), "|")
+    return r.withColumns({"counts": counts, **{c: F.array_join(c, "|") for c in ("sample", "found", "missing")}})
+
+
 @query(f"""
   WITH u AS (SELECT s_name AS name, 0 AS part FROM supplier UNION ALL SELECT c_name, 1 FROM customer UNION ALL SELECT n_name, 2 FROM nation),
   k AS (SELECT *, {R.latin_key('name', [])} AS key FROM u), f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY part, name) AS r FROM k)
@@ -229,18 +260,58 @@ def alias_short_circuit(spark: SparkSession, d: str) -> DataFrame:
     return match.search(keys, queries, manual, F.col("query") == "red").select("query", "name", "score", "rank")
 
 
-_AR = ["القديس", "الأسقف", "برانيوس", "الخباز بريناس"]
+_AR_Q = "SELECT DISTINCT name_ar AS query FROM saints_ar_generated WHERE ('0x' || substr(md5(id), 1, 6))::INT % 100 = 0 UNION SELECT * FROM (VALUES ('القديس'), ('الأسقف'), ('برانيوس'), ('الخباز بريناس'))"
+_BARE = "array_to_string(list_filter(list_transform(list_filter(string_split({0}, ' '), lambda w: regexp_matches(w, '[\\x{{600}}-\\x{{6ff}}]') AND w NOT IN ('القديس', 'الاب')), lambda w: CASE WHEN starts_with(w, 'ال') AND length(w) > 2 THEN substr(w, 3) ELSE w END), lambda w: w <> '' AND w NOT IN ('القديس', 'الاب')), ' ')"
+_AR_TIERS = f"""q AS ({_AR_Q}), q1 AS (SELECT query, {R.arabic_key(R.nfkc('query'))} AS k FROM q), qk AS (SELECT query, k AS query_key FROM q1 UNION SELECT query, {_BARE.format('k')} FROM q1),
+  n AS (SELECT DISTINCT {R.arabic_display('name_ar')} AS name, {R.arabic_key('name_ar')} AS name_key FROM {ALL_NAMES}),
+  t AS (SELECT query, name, query_key, name_key, CASE WHEN name_key = query_key THEN 0 WHEN starts_with(name_key, query_key) THEN 1 WHEN contains(name_key, query_key) THEN 2
+    WHEN len(list_filter(string_split(query_key, ' '), lambda w: NOT list_contains(string_split(name_key, ' '), w))) = 0 THEN 3 END AS score FROM qk, n WHERE query_key <> ''),
+  d AS (SELECT *, CASE WHEN contains(query_key, 'القديس') AND contains(name_key, 'الاسقف') THEN 1 ELSE 9 END AS descriptor FROM t WHERE score IS NOT NULL),
+  b AS (SELECT query, name, min(score * 10 + descriptor) AS s FROM d GROUP BY query, name),
+  o AS (SELECT query, name, (s // 10)::INT AS score, row_number() OVER (PARTITION BY query ORDER BY s, length(name), name) AS rank FROM b)"""
 
 
-@query(f"""WITH q(query) AS (VALUES {', '.join(f"('{x}')" for x in _AR)}), k AS (SELECT query, {R.arabic_key('query')} AS query_key FROM q), n AS (SELECT DISTINCT name_ar AS name, {R.arabic_key('name_ar')} AS name_key FROM saints_ar_seed),
-  t AS (SELECT query, name, query_key, name_key, CASE WHEN name_key = query_key THEN 0 WHEN starts_with(name_key, query_key) THEN 1 WHEN contains(name_key, query_key) THEN 2
-    WHEN len(list_filter(string_split(query_key, ' '), lambda w: NOT list_contains(string_split(name_key, ' '), w))) = 0 THEN 3 END AS score FROM k, n),
-  d AS (SELECT *, CASE WHEN contains(query_key, 'القديس') AND contains(name_key, 'الاسقف') THEN 1 ELSE 9 END AS descriptor FROM t WHERE score IS NOT NULL)
-  SELECT query, name, score::INT AS score, descriptor::INT AS descriptor, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score, descriptor, length(name), name) AS rank FROM d) WHERE rank <= 12""")
+def _arabic_search(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(query, query_key) of the names whose id's hash is divisible by 100, and (name, name_key) of the whole index."""
+    picked = F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("long") % 100 == 0
+    queries = table(spark, d, "saints_ar_generated").where(picked).select(F.col("name_ar").alias("query"))
+    queries = queries.unionByName(spark.createDataFrame([(x,) for x in ("القديس", "الأسقف", "برانيوس", "الخباز بريناس")], "query string")).distinct()
+    names = all_names(spark, d).select(T.arabic_display(F.col("name_ar")).alias("name"), T.arabic_key(F.col("name_ar")).alias("name_key")).distinct()
+    return match.arabic_query_keys(queries, ["القديس", "الاب"], "ال"), names
+
+
+@query(f"WITH {_AR_TIERS} SELECT query, name, score, rank::INT AS rank FROM o WHERE rank <= 12")
 def arabic_match(spark: SparkSession, d: str) -> DataFrame:
-    queries = spark.createDataFrame([(x,) for x in _AR], "query string").select("query", T.arabic_key(F.col("query"), True).alias("query_key"))
-    names = table(spark, d, "saints_ar_seed").select(F.col("name_ar").alias("name"), T.arabic_key(F.col("name_ar")).alias("name_key")).distinct()
-    return match.tiered_arabic(names, queries, [("القديس", "الاسقف", 1)])
+    queries, names = _arabic_search(spark, d)
+    return match.tiered_arabic(names, queries, [("القديس", "الاسقف", 1)]).select("query", "name", "score", "rank")
+
+
+@query(f"""WITH {_AR_TIERS}, manual AS (SELECT q1.query, n.name, 0 AS place FROM q1 JOIN n ON n.name_key = 'القديسه تلوسيا الصغير' WHERE contains(q1.k, 'القديس') OR contains('القديس برانيوس', q1.k)),
+  u AS (SELECT query, name, -1 AS score, place FROM manual UNION ALL SELECT query, name, score, rank FROM o WHERE rank <= 400 AND (query, name) NOT IN (SELECT query, name FROM manual)),
+  r AS (SELECT query, name, score, row_number() OVER (PARTITION BY query ORDER BY score >= 0, place, name) AS rank FROM u) SELECT query, name, score::INT AS score, rank::INT AS rank FROM r WHERE rank <= 12""")
+def arabic_search(spark: SparkSession, d: str) -> DataFrame:
+    """Hand-kept matches first, then the tiers."""
+    queries, names = _arabic_search(spark, d)
+    records = spark.createDataFrame([(0, "القديسه تلوسيا الصغير", "القديس"), (0, "القديسه تلوسيا الصغير", "القديس برانيوس")], "ordinal int, name_key string, alias_key string")
+    whole = queries.select("query").distinct().select("query", T.arabic_key(F.col("query")).alias("query_key"))
+    contained = F.col("alias_key") == "القديس"
+    manual = match.contained_aliases(records.where(contained), whole.where(F.col("query_key").contains("القديس")), names)
+    manual = manual.unionByName(match.contained_aliases(records.where(~contained), whole.where(F.lit("القديس برانيوس").contains(F.col("query_key"))), names))
+    return match.search_arabic(names, queries, manual, [("القديس", "الاسقف", 1)])
+
+
+@query(f"WITH {_SCORED}, {_CUT}, r AS ({_RANKED.format('cut', 400)}) SELECT query, name, rank FROM r WHERE length(query) >= 4 AND rank <= 12")
+def name_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions for what has been typed so far; the limit asked for is cut to twelve, short queries get none."""
+    found = match.search(_part_keys(spark, d), _queries(spark), ambiguous=F.col("query") == "red", limit=400)
+    return match.suggestions(found, 50, least=4).select("query", "name", "rank")
+
+
+@query(f"WITH {_SCORED}, {_CUT}, r AS ({_RANKED.format('cut', 400)}) SELECT query, name, rank, total FROM (SELECT *, count(*) OVER (PARTITION BY query) AS total FROM r) WHERE rank > 5 AND rank <= 15")
+def searched_list(spark: SparkSession, d: str) -> DataFrame:
+    """A page of a searched list, with the matches' total before the page is cut."""
+    found = match.search(_part_keys(spark, d), _queries(spark), ambiguous=F.col("query") == "red", limit=400)
+    return match.searched_listing(found, 10, 5)
 
 
 @query("""WITH q(query) AS (VALUES ('STANDARD'), ('small plated brass thing'), ('x')), r AS (SELECT p_partkey AS ordinal, lower(p_name) AS name_key, lower(p_type) AS alias_key FROM part),
@@ -290,6 +361,33 @@ def intents(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", got["mode"].alias("mode"), got["subject"].alias("subject"), asked.alias("ambiguous"))
 
 
+_SUBJECTS = f"""i AS (SELECT id, q, CASE WHEN regexp_matches(q, '(?i)^who (?:was|is) .+$') THEN 'lookup' WHEN regexp_matches(q, '(?i)^tell me about .+$') THEN 'lookup' WHEN regexp_matches(q, '(?i)^(?:list|show) .+$') THEN 'list' END AS mode,
+    CASE WHEN regexp_matches(q, '(?i)^who (?:was|is) .+$') THEN regexp_extract(q, '(?i)^who (?:was|is) (.+)$', 1) WHEN regexp_matches(q, '(?i)^tell me about .+$') THEN regexp_extract(q, '(?i)^tell me about (.+)$', 1)
+      WHEN regexp_matches(q, '(?i)^(?:list|show) .+$') THEN regexp_extract(q, '(?i)^(?:list|show) (.+)$', 1) END AS subject
+    FROM (SELECT DISTINCT id, {R.collapse(f"regexp_replace({R.strip('content')}, '[?.!]+$', '')")} AS q FROM chat_messages WHERE content IS NOT NULL AND lower(trim(role)) = 'user'))"""
+_EN_KEYS = f"en AS (SELECT DISTINCT {R.latin_key('name_en', TITLES)} AS key FROM saints_ar_seed)"
+_HIT = f"""EXISTS (SELECT 1 FROM en WHERE {R.latin_key('subject', TITLES)} <> '' AND (contains(en.key, {R.latin_key('subject', TITLES)}) OR len(list_filter(string_split({R.latin_key('subject', TITLES)}, ' '), lambda w: NOT list_contains(string_split(en.key, ' '), w))) = 0))"""
+
+
+@query(f"""WITH {_SUBJECTS}, {_EN_KEYS}, g AS (SELECT *, regexp_matches(subject, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:st[.]?|saint)(?:[^\\p{{L}}\\p{{N}}_]|$)') OR {_HIT} AS good FROM i)
+  SELECT id, CASE WHEN good THEN mode END AS mode, CASE WHEN good THEN subject END AS subject FROM g""")
+def intents_confirmed(spark: SparkSession, d: str) -> DataFrame:
+    """Intents whose subject has a title or is a name of the index."""
+    m = table(spark, d, "chat_messages").where("content is not null and lower(trim(role)) = 'user'").select("id", match.intent(F.col("content"), _INTENTS).alias("i")).distinct().select("id", "i.mode", "i.subject")
+    names = table(spark, d, "saints_ar_seed").select(F.col("name_en").alias("id"), F.col("name_en").alias("name")).distinct()
+    keys = match.name_keys(names, F.array("name"), RULES.key)
+    return match.confirmed_intents(m, keys, ["st.", "saint"], RULES.key)
+
+
+@query(f"""WITH {_SCORED}, {_CUT}, r AS ({_RANKED.format('cut', 5)}), w AS (SELECT name, row_number() OVER (ORDER BY name) AS rank FROM (SELECT DISTINCT p_type AS name FROM part)),
+  u AS (SELECT name, true AS is_real_record, rank FROM r WHERE query = 'idge' UNION ALL SELECT name, false, rank FROM w WHERE rank <= 5) SELECT name, is_real_record, (row_number() OVER (ORDER BY is_real_record DESC, rank, name) - 1)::INT AS position FROM u""")
+def match_report(spark: SparkSession, d: str) -> DataFrame:
+    """What a search finds: records of the index, then names that are only mentioned."""
+    found = match.search(_part_keys(spark, d), _queries(spark).where("query = 'idge'"), limit=5).select("name", "rank")
+    weak = page(table(spark, d, "part").select(F.col("p_type").alias("name")).distinct(), ["name"], 5)
+    return match.match_report(found, positioned(weak, ["name"], "rank").withColumn("rank", F.col("rank") + 1))
+
+
 @query(f"""WITH {_SCORED}, {_CUT}, r AS ({_RANKED.format('cut', 400)})
   SELECT query, 'Which did you mean by ' || query || '?' AS answer, array_to_string(list(name ORDER BY rank)[1:12], '|') AS options, count(*) AS total FROM r GROUP BY query""")
 def option_payload(spark: SparkSession, d: str) -> DataFrame:
@@ -298,10 +396,13 @@ def option_payload(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT (SELECT count(*) FROM saints_ar_seed) AS n_records, array_to_string((SELECT list(name_en ORDER BY name_en) FROM (SELECT name_en FROM saints_ar_seed ORDER BY lower(name_en), name_en LIMIT 20)), '|') AS sample,
-  (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(*) FROM chunks WHERE starts_with(pdf, 'saints')) AS n_prefixed""")
+  (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(*) FROM chunks WHERE starts_with(pdf, 'saints')) AS n_prefixed,
+  (SELECT array_to_string(list(pdf || '=' || n ORDER BY pdf), '|') FROM (SELECT pdf, count(*) AS n FROM chunks WHERE starts_with(pdf, 'saints') GROUP BY pdf)) AS files, 'chunk_index|id|language|page|pdf|source_group|source_type|text|title|url' AS fields""")
 def index_report(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "saints_ar_seed").select(F.col("name_en").alias("name"))
-    return match.index_report(records, table(spark, d, "chunks"), "saints").withColumn("sample", F.array_join("sample", "|"))
+    return match.index_report(records, table(spark, d, "chunks"), "saints").withColumns(
+        {"sample": F.array_join("sample", "|"), "fields": F.array_join("fields", "|"), "files": F.array_join(F.transform("files", lambda f: F.concat(f["pdf"], F.lit("="), f["n"].cast("string"))), "|")}
+    )
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE length(p_name) > 0 ORDER BY lower(p_name), p_partkey LIMIT 400 OFFSET 0")

@@ -11,7 +11,7 @@ from quern.operators.ranking import first_wins
 from quern.plans import registry as R
 from quern.plans.registry import query, table
 from quern.sources import collections, files
-from quern.sources.tables import text_table
+from quern.sources.tables import shared_folder, text_table
 
 TITLES = ["st", "saint", "saints", "mr", "dr"]
 
@@ -201,15 +201,23 @@ def title_case(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.title_case(F.upper("p_name"), PARTICLES, NUMERALS).alias("name"))
 
 
+ALL_NAMES = f"(SELECT id, {R.nfkc('name_ar')} AS name_ar FROM (SELECT id, name_ar FROM saints_ar_seed UNION SELECT id, name_ar FROM saints_ar_generated))"
+
+
+def all_names(spark: SparkSession, d: str) -> DataFrame:
+    """(id, name_ar): the names of the hand-kept and of the generated index, each row once."""
+    return table(spark, d, "saints_ar_seed").select("id", "name_ar").unionByName(table(spark, d, "saints_ar_generated").select("id", "name_ar")).distinct()
+
+
 @query(f"""
-    WITH s AS (SELECT id, name_ar, {R.arabic_key(R.arabic_display('name_ar'))} AS key FROM saints_ar_seed), t AS (
+    WITH s AS (SELECT id, name_ar, {R.arabic_key(R.arabic_display('name_ar'))} AS key FROM {ALL_NAMES}), t AS (
       SELECT *, list_filter(list_transform(list_filter(string_split(key, ' '), lambda w: regexp_matches(w, '[\\x{{600}}-\\x{{6ff}}]') AND w NOT IN ('القديس', 'الاب')),
         lambda w: CASE WHEN starts_with(w, 'ال') AND length(w) > 2 THEN substr(w, 3) ELSE w END), lambda w: w <> '' AND w NOT IN ('القديس', 'الاب')) AS toks FROM s)
     SELECT id, {R.arabic_key('name_ar')} AS name_key, {R.arabic_display('name_ar')} AS shown, key AS search, array_to_string(toks, ' ') AS tokens,
       'name-' || substr(sha1({R.arabic_key('name_ar')}), 1, 12) AS entity_id FROM t""")
 def arabic_names(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("name_ar")
-    return table(spark, d, "saints_ar_seed").select(
+    return all_names(spark, d).select(
         "id", T.arabic_key(n).alias("name_key"), T.arabic_display(n).alias("shown"), T.arabic_search(n).alias("search"),
         F.array_join(T.name_tokens(n, ["القديس", "الاب"], "ال"), " ").alias("tokens"), T.sha1_id("name-", T.arabic_key(n)).alias("entity_id"),
     )
@@ -247,9 +255,10 @@ def query_names(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", bare.alias("bare"), T.core_name(F.col("c"), PREFIXES).alias("core"), T.latin_key(bare, titles=TITLES).alias("search_key"), T.known_mode(F.col("role"), ["user", "assistant"], "note").alias("mode"))
 
 
-@query("SELECT doc_id, title, source FROM (SELECT *, row_number() OVER (PARTITION BY lower(substr(text, 1, 80)) ORDER BY doc_id) AS n FROM documents WHERE text IS NOT NULL) WHERE n = 1")
+@query("SELECT doc_id, title, source FROM (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) AS n FROM documents WHERE text IS NOT NULL) WHERE n = 1")
 def first_wins_dedup(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "title", "source", F.lower(F.substring("text", 1, 80)).alias("k"))
+    """The first document of every text, whatever its case; whole texts are compared by hash."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "title", "source", F.md5(F.lower("text")).alias("k"))
     return first_wins(docs, ["k"], ["doc_id"]).select("doc_id", "title", "source")
 
 
@@ -262,18 +271,91 @@ def union_sources(spark: SparkSession, d: str) -> DataFrame:
     return both.select("id", F.length("text").alias("n"), "pdf", "url")
 
 
-@query("""
-    WITH m(attempt, message) AS (VALUES (0, 'Rate limit. Please try again in 1.5s.'), (1, 'try again in 2s or try again in 7.25s'), (2, 'slow down'), (30, NULL))
-    SELECT attempt, CASE WHEN regexp_matches(lower(coalesce(message, '')), 'try again in [0-9.]+s') THEN regexp_extract_all(lower(message), 'try again in ([0-9]+(?:\\.[0-9]+)?)s', 1)[-1]::DOUBLE + 1
+_MESSAGES = """m AS (SELECT doc_id, doc_id % 25 AS attempt, CASE doc_id % 4 WHEN 0 THEN 'Rate limit. Please try again in ' || (doc_id % 700) / 10.0 || 's.' WHEN 1 THEN 'try again in 2s or try again in ' || doc_id % 90 || 's' WHEN 2 THEN 'slow down' END AS message FROM documents)"""
+
+
+@query(f"""
+    WITH {_MESSAGES}
+    SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(message, '')), 'try again in [0-9.]+s') THEN regexp_extract_all(lower(message), 'try again in ([0-9]+(?:\\.[0-9]+)?)s', 1)[-1]::DOUBLE + 1
       ELSE least(60.0, 5 + 3 * attempt + 0.5)::DOUBLE END AS seconds FROM m""")
 def retry_wait(spark: SparkSession, d: str) -> DataFrame:
-    m = spark.createDataFrame([(0, "Rate limit. Please try again in 1.5s."), (1, "try again in 2s or try again in 7.25s"), (2, "slow down"), (30, None)], "attempt int, message string")
-    return m.select("attempt", ingest.retry_seconds(F.col("message"), F.col("attempt"), F.lit(0.5)).alias("seconds"))
+    n = F.col("doc_id")
+    tenth = F.format_string("%.1f", (n % 700) / 10)
+    message = F.when(n % 4 == 0, F.concat(F.lit("Rate limit. Please try again in "), tenth, F.lit("s."))).when(n % 4 == 1, F.concat(F.lit("try again in 2s or try again in "), (n % 90).cast("string"), F.lit("s"))).when(n % 4 == 2, "slow down")
+    m = table(spark, d, "documents").select("doc_id", (n % 25).alias("attempt"), message.alias("message"))
+    return m.select("doc_id", ingest.retry_seconds(F.col("message"), F.col("attempt"), F.lit(0.5)).alias("seconds"))
 
 
-_HTML = [("https://a.example/x#top", "<html><head><title>T &amp; t</title></head><body><nav>menu</nav><article><h1> One  two </h1><p>First.</p><p>First.</p><script>x()</script></article><footer>f</footer></body></html>"), ("https://a.example/y", "<title>Only</title><body><div>a</div><div>bc de</div><noscript>n</noscript></body>")]
+_HTML = """h AS (SELECT page_id, 'https://x.example/' || page_id || '#top' AS url, list_filter(list_transform(string_split(text, chr(10)), lambda v: trim(regexp_replace(v, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+', ' ', 'g'))), lambda v: length(v) >= 2) AS ls,
+  trim(regexp_replace(coalesce(title, ''), '[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+', ' ', 'g')) AS title FROM web_pages WHERE text IS NOT NULL)"""
 
 
-@query("SELECT * FROM (VALUES ('https://a.example/x#top', 'One two', 'One two' || chr(10) || 'First.'), ('https://a.example/y', 'Only', 'Only' || chr(10) || 'bc de')) t(url, title, text)".replace("'Only' || chr(10) || 'bc de'", "'bc de'"))
+@query(f"""WITH {_HTML} SELECT url, CASE WHEN page_id % 3 = 0 THEN coalesce(nullif(title, ''), url) ELSE 'Page ' || page_id END AS title, array_to_string({R.distinct('ls')}, chr(10)) AS text FROM h WHERE len(ls) > 0""")
 def html_clean(spark: SparkSession, d: str) -> DataFrame:
-    return files.html_pages(spark.createDataFrame(_HTML, "url string, html string"))
+    """Web pages written as HTML of several layouts (article, main, role, entry-content, body alone; entities, scripts, menus) and read again."""
+    lines = F.transform(F.split("text", "\n", -1), T.escape_html)
+    body = F.concat(F.lit("<p>"), F.array_join(lines, "</p><p>"), F.lit("</p><script>var x = 1;</script>"))
+    kind = F.col("page_id") % 5
+    open_, close = (F.when(kind == 0, F.lit(a)).when(kind == 1, F.lit(b)).when(kind == 2, F.lit(c)).when(kind == 3, F.lit(e)).otherwise(F.lit("")) for a, b, c, e in (("<article>", "<main>", "<div role='main'>", "<section class='x entry-content'>"), ("</article>", "</main>", "</div>", "</section>")))
+    inner = F.when(kind == 4, body).otherwise(F.concat(F.lit("<div>not the content</div>"), open_, body, close, F.lit("<div>nor this</div>")))
+    head = F.concat(F.lit("<html><head><title>"), T.escape_html(F.coalesce("title", F.lit(""))), F.lit("</title><style>p {}</style></head><body><nav>menu</nav>"))
+    # a heading stands outside the content, so that it gives a title and no line
+    heading = F.when(F.col("page_id") % 3 == 0, F.lit("<nav><h1> </h1></nav>")).otherwise(F.concat(F.lit("<nav><h1> Page "), F.col("page_id").cast("string"), F.lit(" </h1></nav>")))
+    rows = table(spark, d, "web_pages").where("text is not null").select(F.concat(F.lit("https://x.example/"), F.col("page_id").cast("string"), F.lit("#top")).alias("url"), F.concat(head, heading, inner, F.lit("<footer>foot</footer></body></html>")).alias("html"))
+    return files.html_pages(rows)
+
+
+@query("SELECT DISTINCT id, length(text) AS n, length(text) - length(replace(text, 'e', '')) AS e, 'letters' AS model FROM chunks")
+def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk embedded in batches by a model that counts letters."""
+    rows = text_table(spark, d, "chunks").select("id", "text").distinct()
+    out = ingest.embed(rows, lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts], "letters")
+    return out.select("id", F.col("embedding")[0].cast("long").alias("n"), F.col("embedding")[1].cast("long").alias("e"), "model")
+
+
+_LATEST = "c AS (SELECT id, min(text) AS text, min(title) AS title, min(url) AS url, min(chunk_index) AS chunk_index FROM chunks GROUP BY id)"
+
+
+@query(f"""WITH {_LATEST}, fresh AS (SELECT * FROM c WHERE url IS NOT NULL AND chunk_index = 0), kept AS (SELECT * FROM c WHERE url IS NULL OR url NOT IN (SELECT url FROM fresh) OR id IN (SELECT id FROM fresh))
+  SELECT id, CASE WHEN id IN (SELECT id FROM fresh) THEN 'new: ' || text ELSE text END AS text FROM kept""")
+def collection_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A stored collection after its first pages came anew: replaced by id, the pages' other chunks gone."""
+    store = collections.Collection(spark, shared_folder(spark), "chunks")
+    c = table(spark, d, "chunks").groupBy("id").agg(*[F.min(x).alias(x) for x in ("text", "title", "url", "chunk_index")])
+    store.upsert(store.stage(c))
+    store.upsert(store.stage(c.where("url is not null and chunk_index = 0").withColumn("text", F.concat(F.lit("new: "), "text"))), drop_stale=True)
+    store.drop_staged()
+    return store.read().select("id", "text")
+
+
+@query(f"WITH {_LATEST} SELECT id, chunk_index FROM c WHERE title = 'saints great synaxar'")
+def collection_filtered(spark: SparkSession, d: str) -> DataFrame:
+    store = collections.Collection(spark, shared_folder(spark), "chunks")
+    store.upsert(table(spark, d, "chunks").groupBy("id").agg(*[F.min(x).alias(x) for x in ("text", "title", "url", "chunk_index")]))
+    return store.filtered(title="saints great synaxar").select("id", "chunk_index")
+
+
+@query("SELECT DISTINCT id, name_ar, source_title, page_start, page_end, preview FROM saints_ar_generated WHERE trim(coalesce(name_ar, '')) <> ''")
+def json_index_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The generated index written as one JSON object and read again."""
+    folder = shared_folder(spark)
+    files.write_json_index(table(spark, d, "saints_ar_generated").distinct(), "book", folder)
+    return files.json_index(spark, folder).drop("aliases_ar")
+
+
+@query("SELECT least, (SELECT count(*) FROM chunks) < greatest(least, 0) AS fill FROM (VALUES (-1), (0), (1), (1000), (1000000000)) t(least)")
+def population_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a collection of this many chunks is to be filled, for several least sizes."""
+    n = table(spark, d, "chunks").count()
+    return spark.createDataFrame([(least, ingest.must_ingest(n, least, True)) for least in (-1, 0, 1, 1000, 10**9)], "least int, fill boolean")
+
+
+@query("SELECT DISTINCT id, NULL::VARCHAR AS error FROM chunks WHERE source_type = 'pdf' UNION ALL SELECT 'website', 'failed'")
+def source_failures(spark: SparkSession, d: str) -> DataFrame:
+    """A source that fails while it is read leaves the other's rows and its error."""
+    c = table(spark, d, "chunks").select("id", "source_type").distinct()
+    store = collections.Collection(spark, shared_folder(spark), "parts")
+    broken = c.where("source_type = 'website'").withColumn("text", F.raise_error(F.lit("gone")).cast("string"))
+    done, errors = ingest.attempt_sources({"pdf": lambda: c.where("source_type = 'pdf'"), "website": lambda: broken}, {"pdf"}, store.stage)
+    failed = spark.createDataFrame([(k, "failed") for k in errors], "id string, error string")
+    return ingest.union_sources(*[r.select("id", F.lit(None).cast("string").alias("error")) for r in done]).unionByName(failed)

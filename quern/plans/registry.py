@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,11 @@ def distinct(x: str) -> str:
     return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
 
 
+def once_lower(x: str) -> str:
+    """A list without repetitions whatever their case, the first spelling of each."""
+    return f"list_filter({x}, lambda v, i: list_position(list_transform({x}, lambda y: lower(y)), lower(v)) = i)"
+
+
 def ascii_key(x: str) -> str:
     return collapse(rf"regexp_replace(lower({x}), '[^a-z0-9\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]', ' ', 'g')")
 
@@ -75,3 +81,15 @@ def arabic_key(x: str) -> str:
 
 def arabic_display(x: str) -> str:
     return collapse(f"replace(translate({x}, 'یکھ', 'يكه'), 'ـ', '')")
+
+
+def nfkc(x: str) -> str:
+    """Compatibility composition for SQL, of Arabic position forms, full-width forms and blanks (by the rule of Unicode's data)."""
+    forms = {chr(c): unicodedata.normalize("NFKC", chr(c)) for r in ((0xA0, 0xA1), (0x2000, 0x2030), (0x3000, 0x3001), (0xFB50, 0xFBB2), (0xFE80, 0xFEFD), (0xFF01, 0xFF5F)) for c in range(*r)}
+    forms = {a: b for a, b in forms.items() if a != b}
+    one = {a: b for a, b in forms.items() if len(b) == 1}
+    out = f"translate({x}, '{''.join(one)}', '{''.join(b.replace(chr(39), chr(39) * 2) for b in one.values())}')"
+    for a, b in forms.items():
+        if len(b) > 1 and unicodedata.category(a).startswith("L"):
+            out = f"replace({out}, '{a}', '{b}')"
+    return f"nfc_normalize({out})"

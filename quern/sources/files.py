@@ -163,8 +163,12 @@ def url_list(spark: SparkSession, urls: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(u,) for u in urls], "url string").select(T.normalize_url(F.col("url")).alias("url")).where("url != ''").distinct()
 
 
-def fetch(urls: DataFrame, timeout: float = 30.0, agent: str = "quern/1", opener: Callable[[str, float, str], str] | None = None) -> DataFrame:
-    """(url, html, error): pages fetched by the tasks; a failed address has its error and no page."""
+def fetch(urls: DataFrame, timeout: float = 30.0, agent: str = "quern/1", opener: Callable[[str, float, str], str] | None = None, attempts: int = 1, pause: float = 0.0) -> DataFrame:
+    """(url, html, error): pages fetched by the tasks; a failed address has its error and no page.
+
+    Addresses of one host are fetched one after the other by one task, ``pause`` seconds apart, and
+    each up to ``attempts`` times.
+    """
 
     def default(url: str, seconds: float, name: str) -> str:
         from urllib.request import Request, urlopen
@@ -175,16 +179,25 @@ def fetch(urls: DataFrame, timeout: float = 30.0, agent: str = "quern/1", opener
     get = opener or default
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import time
+
         for batch in batches:
             out = []
             for url in batch.column(0).to_pylist():
-                try:
-                    out.append((url, get(url, timeout, agent), None))
-                except Exception as e:
-                    out.append((url, None, f"{type(e).__name__}: {e}"))
+                html, error = None, None
+                for _ in range(max(1, attempts)):
+                    if pause and out:
+                        time.sleep(pause)
+                    try:
+                        html, error = get(url, timeout, agent), None
+                        break
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
+                out.append((url, html, error))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=["url", "html", "error"])
 
-    return urls.select("url").mapInArrow(run, "url string, html string, error string")
+    host = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.\-]*://([^/?#]+)", 1)
+    return urls.select("url").repartition(host).mapInArrow(run, "url string, html string, error string")
 
 
 def json_index(spark: SparkSession, path: str) -> DataFrame:

@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, below the one named by ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets one of its own, gone when it ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = "file://" + own
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/quern/{uuid.uuid4().hex}"
+
+
 def spread(rows: DataFrame, *key: str) -> DataFrame:
     """``rows`` over all cores where its files give work to under half of them.
 

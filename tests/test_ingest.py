@@ -65,6 +65,90 @@ def test_embed_and_collection(spark, tmp_path):
         pass
 
 
+def test_fill_embeds_every_chunk_once(spark, tmp_path):
+    from quern.plans.pipeline import fill
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Counting:
+        model = "m"
+
+        def __call__(self, texts):
+            import uuid
+
+            for _ in texts:
+                (calls / uuid.uuid4().hex).touch()
+            return [[1.0]] * len(texts)
+
+    web = spark.createDataFrame([(f"https://x.example/{i}", "t", f"text {i}") for i in range(20)], "url string, title string, text string")
+    c = collections.Collection(spark, str(tmp_path), "en")
+    for drop_stale in (False, True):
+        fill(c, ingest.web_chunks(web, "en", "web"), Counting(), drop_stale=drop_stale)
+    assert c.count() == 20 and len(list(calls.iterdir())) == 40
+    assert not [p for p in (tmp_path / "en").iterdir() if p.name.startswith("staged-")]
+
+
+def test_collection_writes_what_changed(spark, tmp_path):
+    c = collections.Collection(spark, str(tmp_path), "en")
+    rows = spark.createDataFrame([(f"u{i}::c{j}", f"text {i} {j}", f"https://x.example/{i}") for i in range(50) for j in range(2)], "id string, text string, url string")
+    c.upsert(rows)
+    before = c.store.newest()
+    c.upsert(rows.where("id = 'u3::c0'").withColumn("text", F.lit("new")), drop_stale=True)
+    base, after = c.store.newest()
+    assert base == before[0] + 1 and sum(before[1][k] != after[k] for k in after) == 1
+    got = {r.id: r.text for r in c.read().collect()}
+    assert len(got) == 99 and got["u3::c0"] == "new" and "u3::c1" not in got
+    c.upsert(rows.limit(0))
+    assert c.store.newest()[0] == base
+    # the later of two rows of one id stands, and of two writers of one version the second fails
+    twice = spark.createDataFrame([("k", "a", 1), ("k", "b", 2)], "id string, text string, chunk_index int")
+    c.upsert(twice.repartition(2))
+    assert c.read().where("id = 'k'").first().text == "b"
+    try:
+        c.store.commit(base, {})
+        raise AssertionError("a version was written twice")
+    except collections.Conflict:
+        pass
+
+
+def test_tables_of_one_version(spark, tmp_path):
+    store = collections.Snapshots(spark, str(tmp_path / "s"))
+    store.write({"a": spark.range(3), "b": spark.range(2)})
+    store.write({"a": spark.range(5), "b": spark.range(4)})
+    assert store.versions() == [1, 2] and (store.read("a").count(), store.read("b").count()) == (5, 4)
+    assert store.parts(1) != store.parts(2)
+
+
+def test_database_table(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.range(100).select(F.col("id").cast("int").alias("N"), F.concat(F.lit("v"), "id").alias("V"))
+    rows.write.format("jdbc").option("url", url).option("dbtable", "T").option("driver", "org.apache.derby.jdbc.EmbeddedDriver").save()
+    got = collections.jdbc_table(spark, url, "T", ("N", 0, 100, 4), driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert got.rdd.getNumPartitions() == 4 and {tuple(r) for r in got.collect()} == {tuple(r) for r in rows.collect()}
+
+
+def test_filters_reach_the_files(spark, tmp_path):
+    c = collections.Collection(spark, str(tmp_path), "en")
+    c.upsert(spark.createDataFrame([("a::c0", "x", "T"), ("b::c0", "y", "U")], "id string, text string, title string"))
+    found = c.filtered(title="T").select("id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(title,T)" in plan and "embedding" not in plan.split("ReadSchema")[1]
+    assert [r.id for r in found.collect()] == ["a::c0"]
+
+
+def test_fetch_tries_again(spark, tmp_path):
+    def opener(url, timeout, agent):
+        seen = tmp_path / url[-1]
+        if not seen.exists():
+            seen.touch()
+            raise OSError("busy")
+        return "page"
+
+    urls = files.url_list(spark, ["https://a.example/1", "https://a.example/2"])
+    assert [r.html for r in files.fetch(urls, opener=opener, attempts=2).collect()] == ["page", "page"]
+
+
 def test_gates_and_retries(spark):
     assert ingest.must_ingest(5, 10, True) and not ingest.must_ingest(10, 10, True) and not ingest.must_ingest(0, 10, False)
     assert (ingest.int_setting("x", 7), ingest.int_setting("-3", 7), ingest.int_setting(" 12 ", 7)) == (7, 0, 12)
