@@ -291,8 +291,8 @@ def context_concat(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.context(_ranked(spark, d), ["q_id"])
 
 
-@query(f"""WITH {_RANKED}, t AS (SELECT *, contains({R.ascii_key("concat_ws(' ', text, title, pdf)")}, 'saint') AS ok FROM ranked) SELECT q_id, count(*) AS n_chunks, count(*) FILTER (WHERE ok) AS accepted, count(*) FILTER (WHERE NOT ok) AS rejected, array_to_string(list({_LABEL} ORDER BY rank) FILTER (WHERE rank <= 3), '|') AS top,
-  array_to_string(list(substr({R.collapse("coalesce(text, '')")}, 1, 180) ORDER BY rank) FILTER (WHERE rank <= 3), '|') AS previews FROM t GROUP BY q_id""")
+@query(f"""WITH {_RANKED}, t AS (SELECT *, contains({R.ascii_key("concat_ws(' ', text, title, pdf)")}, 'saint') AS ok FROM ranked) SELECT q_id, count(*) AS n_chunks, count(*) FILTER (WHERE ok) AS accepted, count(*) FILTER (WHERE NOT ok) AS rejected, coalesce(array_to_string(list({_LABEL} ORDER BY rank) FILTER (WHERE rank <= 3), '|'), '') AS top,
+  coalesce(array_to_string(list(substr({R.collapse("coalesce(text, '')")}, 1, 180) ORDER BY rank) FILTER (WHERE rank <= 3), '|'), '') AS previews FROM t GROUP BY q_id""")
 def retrieval_log(spark: SparkSession, d: str) -> DataFrame:
     flag = retrieve.relevant(T.ascii_key(F.concat_ws(" ", "text", "title", "pdf")), F.array().cast("array<string>"), F.array(F.lit("saint")))
     logs = retrieve.retrieval_log(_ranked(spark, d).withColumn("accepted", flag), ["q_id"])
