@@ -10,7 +10,7 @@ from quern.llm.scratch import materialize
 #: Rows one task ranks, about.
 BLOCK_ROWS = 200_000
 #: Rows of sizes (a group, a value and three numbers each) up to which they are broadcast.
-BROADCAST_ROWS = 250_000
+BROADCAST_ROWS = 100_000
 
 
 def _sized(small: DataFrame) -> DataFrame:
