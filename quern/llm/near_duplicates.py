@@ -1,9 +1,10 @@
 """Problem 4: records that share most of their word sequences.
 
 Records with the same set of k-word sequences form a class. MinHash bands say
-which classes may be compared; every band entry carries a small bitmap of the
-record (one bit of each of its MinHash values), so that a pair of unlike records
-that meets in a band ends in the join itself and is never written. What is left
+which classes may be compared; every band entry carries sketches of the
+record (two bits of each of its MinHash values), and the entries of one key are
+compared in array tiles, so that a pair of unlike records that meets in a band
+costs a few nanoseconds and is never written. What is left
 falls into tiles of two size bands, where parity bitmaps as wide as the band
 needs bound the overlap from above; the rest is decided by intersecting sorted
 arrays.
@@ -16,10 +17,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bloom
@@ -30,8 +32,16 @@ from quern.llm.textkit import distinct_grams, mix, slices
 MISSED = 0.001
 #: Bits of each of a record's two sketches (bits 0 and 1 of its MinHash values), in words of 64.
 SKETCH_BITS = 192
-#: Standard deviations below the expected number of equal bits at which a sketch still lets a pair through (0.1 %).
+#: Standard deviations above the expected number of different values at which the sketches still let a pair through (0.1 %).
 SLACK = 3.1
+#: Words that tiles compare before the rest, and the standard deviations for them (0.01 %).
+FIRST_WORDS, FIRST_SLACK = 2, 3.7
+#: Records of a cell that is compared row by row, not in tiles.
+SMALL_CELL = 32
+#: Records of a band key from which it is dealt to several cells.
+HOT = 16_384
+#: Records up to which all bands are taken at once, and bands in a pass over more records.
+FEW, PASS_BANDS = 1 << 15, 13
 
 
 def banding(threshold: float) -> tuple[int, int]:
@@ -42,9 +52,10 @@ def banding(threshold: float) -> tuple[int, int]:
     return math.ceil(math.log(MISSED) / math.log1p(-(threshold**rows))), rows
 
 
-def most_apart(threshold: float) -> int:
-    """Bits in which the sketches of a pair at the threshold differ at most; equal bits: (1 + similarity) / 2 of all."""
-    return math.floor(SKETCH_BITS * (1 - threshold) / 2 + SLACK * math.sqrt(SKETCH_BITS * (1 - threshold**2) / 4))
+def most_apart(threshold: float, values: int = SKETCH_BITS, slack: float = SLACK) -> int:
+    """Of so many MinHash values, those in whose two bits a pair at the threshold differs at most; unequal values differ in them with a chance of 3/4."""
+    chance = (1 - threshold) * 3 / 4
+    return math.floor(values * chance + slack * math.sqrt(values * chance * (1 - chance)))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -89,16 +100,14 @@ def _sketched(h: np.ndarray, d: np.ndarray, n_docs: int, bands: int, rows: int)
     return keys, sketch
 
 
-def _sketch(plane: int) -> list[str]:
-    """Columns of one of the two sketches."""
-    words = SKETCH_BITS // 64
-    return [f"s{plane * words + i}" for i in range(words)]
+def _record(words: int = SKETCH_BITS // 64) -> np.dtype:
+    """A record as band entries carry it: one column is written and sorted faster than eight."""
+    return np.dtype([("id", "<i8"), ("size", "<i4"), ("sketch", "<u8", (2 * words,))])
 
 
 def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(id, class_key, size, keys, bits, s0, s1, ..): one row per record with visible text; bits is its parity bitmap, s0.. its sketches."""
+    """(id, class_key, size, keys, bits, record): one row per record with visible text; bits is its parity bitmap, record its ``_record``."""
     bands, rows = banding(threshold)
-    sketch = _sketch(0) + _sketch(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -111,6 +120,8 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                 ends = np.cumsum(size)
                 band_keys, sketches = _sketched(h, d, n, bands, rows)
                 keys, cls, bits = [], [], []
+                records = np.zeros(n, _record())
+                records["id"], records["size"], records["sketch"] = ids, size, sketches.view(np.uint64)
                 for i in range(n):
                     bits.append(parity_bitmap(h[ends[i] - size[i] : ends[i]]).tobytes())
                     keys.append(band_keys[i] if size[i] else np.zeros(0, np.int32))
@@ -119,12 +130,12 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()), pa.array(cls, pa.binary()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int32())), pa.array(bits, pa.binary()),
-                        *[pa.array(np.ascontiguousarray(c)) for c in sketches.T],
+                        pa.array([r.tobytes() for r in records], pa.binary()),
                     ],
-                    names=["id", "class_key", "size", "keys", "bits", *sketch],
+                    names=["id", "class_key", "size", "keys", "bits", "record"],
                 )
 
-    return docs.mapInArrow(run, "id long, class_key binary, size int, keys array<int>, bits binary, " + ", ".join(f"{c} long" for c in sketch))
+    return docs.mapInArrow(run, "id long, class_key binary, size int, keys array<int>, bits binary, record binary")
 
 
 def bitmap_bits(size: int) -> int:
@@ -209,27 +220,141 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _apart(x: list[Column], y: list[Column]) -> Column:
-    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y)), F.lit(0))
+def _apart(w: np.ndarray, i: np.ndarray | slice, j: np.ndarray | slice, planes: range) -> np.ndarray:
+    """MinHash values of which the sketches ``w`` (2 x words, n) of i and j hold different bits, over the words ``planes``."""
+    words, out = len(w) // 2, 0
+    for k in planes:
+        out = out + np.bitwise_count((w[k, i] ^ w[k, j]) | (w[k + words, i] ^ w[k + words, j]))
+    return out
 
 
-def _alike(sig: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, of records of ``sig`` that share a band and whose two sketches differ in few bits.
+def _cells_pairs(cell: np.ndarray, side: np.ndarray, size: np.ndarray, w: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i and j of one cell, on different sides if the cell has sides, whose sketches and sizes let them reach the threshold; cells are contiguous."""
+    words = len(w) // 2
+    first, most = most_apart(threshold, 64 * FIRST_WORDS, FIRST_SLACK), most_apart(threshold)
+    begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    end = np.r_[begin[1:], len(cell)]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        # sets of such different sizes cannot reach the threshold
+        ok = (low >= threshold * high - 1e-9) & ((side[i] != side[j]) | (side[i] == 0))
+        i, j = i[ok], j[ok]
+        ok = _apart(w, i, j, range(FIRST_WORDS)) <= first
+        i, j = i[ok], j[ok]
+        ok = _apart(w, i, j, range(words)) <= most
+        found.append((i[ok], j[ok]))
+
+    # small cells: every row with all later ones, some rows at a time
+    left = np.where(np.repeat(end - begin <= SMALL_CELL, end - begin), np.repeat(end, end - begin) - 1 - np.arange(len(cell)), 0)
+    rows = np.flatnonzero(left)
+    for at in np.array_split(rows, len(rows) // 20_000 + 1):
+        i = np.repeat(at, left[at])
+        keep(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left[at]) - left[at], left[at]))
+    # large ones: tiles of rows by size, up to the last size that can reach the threshold
+    for a, z in zip(begin, end):
+        if z - a <= SMALL_CELL:
+            continue
+        order = a + np.argsort(size[a:z], kind="stable")
+        own, sizes, n = np.ascontiguousarray(w[:, order]), size[order], len(order)
+        high = max(16, min(128, 16_384 // n))
+        for i in range(0, n, high):
+            last = np.searchsorted(sizes, (sizes[min(n, i + high) - 1] + 1e-6) / threshold, side="right")
+            for j in range(i, last, 1024):
+                block = np.zeros((min(n, i + high) - i, min(last, j + 1024) - j), np.uint8)
+                for k in range(FIRST_WORDS):
+                    x = own[k, i : i + high, None] ^ own[k, None, j : min(last, j + 1024)]
+                    y = own[k + words, i : i + high, None] ^ own[k + words, None, j : min(last, j + 1024)]
+                    np.bitwise_or(x, y, out=x)
+                    block += np.bitwise_count(x)
+                hit = np.flatnonzero(block <= first)
+                p, q = i + hit // block.shape[1], j + hit % block.shape[1]
+                later = q > p
+                if later.any():
+                    keep(order[p[later]], order[q[later]])
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def _data(column: pa.Array) -> list[pa.Buffer]:
+    """Bytes of a binary column of values of one length."""
+    if not len(column):
+        return []
+    wide = _record().itemsize
+    first = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
+    return [column.buffers()[2].slice(first, wide * len(column))]
+
+
+def _met(entries: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, within the cells of ``entries`` (cell, side, record), partitioned and sorted by cell."""
+
+    def pairs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        r = np.frombuffer(b"".join(memoryview(v) for c in t.column(2).chunks for v in _data(c)), _record())
+        ids, w = r["id"], np.ascontiguousarray(r["sketch"].T)
+        i, j = _cells_pairs(t.column(0).to_numpy(), t.column(1).to_numpy(), np.ascontiguousarray(r["size"]), w, threshold)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
 
-    The first sketch travels with the band entries and is compared within the join; the second is
-    looked up for the few pairs that passed. A band key that many records have is split by AQE.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of a cell that may go on
+        at = None
+        for batch in batches:
+            cells = batch.column(0).to_numpy()
+            if not len(cells):
+                continue
+            cut = int(np.searchsorted(cells, cells[-1]))
+            if held and (cut or cells[-1] != at):
+                yield pairs([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield pairs([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+            at = cells[-1]
+        if held:
+            yield pairs(held)
+
+    return entries.mapInArrow(run, "a long, b long")
+
+
+def _dealt(entries: DataFrame) -> DataFrame:
+    """(cell, side, record) of ``entries`` (key, id, record).
+
+    A band key of about g x ``HOT`` records is dealt to g groups and each two groups meet in a cell
+    of their own, so no task holds more. How many records a key has is estimated from one record in
+    16; it only says how finely a key is dealt: every two of its records meet, whatever the estimate.
+    """
+    some = entries.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0)
+    hot = materialize(some.groupBy("key").agg(F.ceil(16 * F.count("*") / HOT).cast("int").alias("g")).where("g > 1"), "hot", free=True)
+    if hot.isEmpty():
+        return entries.select(F.col("key").alias("cell"), F.lit(0).cast("tinyint").alias("side"), "record")
+    e = entries.join(F.broadcast(hot), "key", "left")
+    own = F.pmod(F.xxhash64(F.lit(1), "id"), F.col("g")).cast("int")
+    e = e.withColumns({"own": own, "other": F.explode(F.when(F.col("g").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("g") - 1)))})
+    cell = F.when(F.col("g").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    side = F.when(F.col("g").isNull() | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return e.select(cell.alias("cell"), side.cast("tinyint").alias("side"), "record")
+
+
+def _alike(sig: DataFrame, threshold: float, bands: int) -> DataFrame:
+    """Pairs (a, b), a < b, of records of ``sig`` that share a band and whose sketches differ in few values.
+
+    Sketches travel with the band entries; those of one key are compared in tiles, so a pair costs
+    some nanoseconds and is not written. Many records take their bands ``PASS_BANDS`` at a time, and
+    the shuffle of a pass is gone before the next begins.
     """
-    most, words = most_apart(threshold), SKETCH_BITS // 64
-    band = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    entries = sig.select("id", *_sketch(0), F.posexplode("keys").alias("band", "key")).select(band.alias("key"), "id", *_sketch(0))
-    x, y = entries.toDF("key", "a", *[f"x{i}" for i in range(words)]), entries.toDF("key", "b", *[f"y{i}" for i in range(words)])
-    near = _apart([F.col(f"x{i}") for i in range(words)], [F.col(f"y{i}") for i in range(words)]) <= most
-    pairs = materialize(x.join(y, "key").where(F.expr("a < b") & near).select("a", "b").distinct(), "candidates")
-    second = sig.select("id", "size", *_sketch(1))
-    u, v = second.toDF("a", "size_a", *[f"x{i}" for i in range(words)]), second.toDF("b", "size_b", *[f"y{i}" for i in range(words)])
-    # sets of such different sizes cannot reach the threshold
-    sizes = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9
-    return pairs.join(u, "a").join(v, "b").where(near & sizes).select("a", "b")
+    n = sig.count()
+    step = bands if n <= FEW else PASS_BANDS
+    out = []
+    for a in range(0, bands, step):
+        keys = F.slice("keys", a + 1, step)
+        e = sig.select("id", "record", F.posexplode(keys).alias("band", "key"))
+        key = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+        e = e.select(key.alias("key"), "id", "record")
+        e = _dealt(e) if n > HOT else e.select(F.col("key").alias("cell"), F.lit(0).cast("tinyint").alias("side"), "record")
+        out.append(materialize(_met(e.repartition("cell").sortWithinPartitions("cell"), threshold).distinct(), "candidates", free=True))
+    return reduce(DataFrame.unionByName, out).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -248,7 +373,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> tupl
     copies = materialize(copies, "copies")
     members = sig.select("id", "size").join(copies, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), "size")
     reps = sig.join(copies.select("id"), "id", "left_anti")
-    near = materialize(_alike(reps, threshold), "alike")
+    near = materialize(_alike(reps, threshold, banding(threshold)[0]), "alike")
     maps = sig.select("id", "size", "bits")
     near = near.join(maps.toDF("a", "size_a", "bits_a"), "a").join(maps.toDF("b", "size_b", "bits_b"), "b")
     pairs = materialize(_bounded(near, threshold), "bounded")

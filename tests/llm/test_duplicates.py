@@ -233,3 +233,30 @@ def test_bloom_filter(spark):
     all_keys = np.arange(5000)
     hit = bloom.contains(bits, all_keys)
     assert hit[::7].all() and hit.mean() < 0.2
+
+
+def test_unlike_texts_of_common_sequences_are_no_candidates(spark, monkeypatch):
+    """Texts of the same stock phrases meet in bands; only pairs near the threshold are written, whatever passes and dealt keys there are."""
+    rng = random.Random(3)
+    stock = [" ".join(f"v{rng.randrange(3000)}" for _ in range(8)) for _ in range(90)]
+    texts = [" ".join(rng.choice(stock) for _ in range(22)) for _ in range(1500)]
+    texts += [t.rsplit(" ", 16)[0] for t in texts[:60]]
+    sets = [grams(t, 3) for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])}
+    counts = []
+
+    def counted(df, label, *args, **more):
+        out = materialize(df, label, *args, **more)
+        counts.append(out.count() if label == "candidates" else 0)
+        return out
+
+    materialize = near_duplicates.materialize
+    monkeypatch.setattr(near_duplicates, "materialize", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for sizes in ({}, {"FEW": 100, "HOT": 64}, {"FEW": 100, "HOT": 64, "SMALL_CELL": 2}):
+        counts.clear()
+        for name, value in sizes.items():
+            monkeypatch.setattr(near_duplicates, name, value)
+        got = {tuple(sorted(r)) for r in near_duplicates.duplicate_pairs(df, 3, 0.5).collect()}
+        assert got <= want and len(got) >= 0.99 * len(want), (len(got), len(want))
+        assert sum(counts) < 8 * len(want) + 100, (sum(counts), len(want))
