@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import dialogues, language, mixing, packing, page_body, ranks, scans, tokens
+from quern.llm import dialogues, language, mixing, packing, page_body, queries, ranks, scans, tokens
 
 MSG = "id string, conversation_id string, role string, sort_order int, content string, created_at timestamp, speaker string"
 
@@ -136,6 +136,18 @@ def test_sound_turns_come_from_the_links(spark, monkeypatch):
     assert dialogues.sound_turns(df, conv).count() == 0
 
 
+def test_found_turns_need_no_links(spark, monkeypatch, tmp_path):
+    start = datetime.datetime(2020, 1, 1)
+    said = (("a", "uaua"), ("b", "uuaa"), ("c", "uaau"), ("d", "uaa"), ("e", "auau"), ("f", "ua"), ("g", "uana"), ("h", "unan"))
+    rows = [(f"{c}{i}", c, {"u": "user", "a": "assistant", "n": "tool"}[r], i + 1, " " if c == "f" else "words", start + datetime.timedelta(days=i), "x") for c, roles in said for i, r in enumerate(roles)]
+    spark.createDataFrame(rows, MSG).write.parquet(f"{tmp_path}/chat_messages.parquet")
+    spark.createDataFrame([(c,) for c in "abcdefgh"], "id string").write.parquet(f"{tmp_path}/chat_conversations.parquet")
+    want = {(r.conversation_id, r.turn_no, r.speaker, r.message_id) for r in queries.p6_links(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(dialogues, "reply_links", None)
+    got = {tuple(r) for r in queries.p6_found(spark, str(tmp_path)).collect()}
+    assert got == want == {("a", 1, "user", "a0"), ("a", 2, "assistant", "a1"), ("a", 3, "user", "a2"), ("a", 4, "assistant", "a3"), ("h", 1, "user", "h0"), ("h", 2, "assistant", "h2")}
+
+
 def test_ranks_of_split_groups(spark, monkeypatch):
     monkeypatch.setattr(ranks, "BLOCK_ROWS", 10)
     rows = spark.range(200).select((F.col("id") % 3 == 0).cast("string").alias("g"), "id", (F.col("id") % 4).alias("v"))
